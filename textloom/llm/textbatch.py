@@ -96,3 +96,25 @@ def chunks(batch_texts: pa.Array, most_bytes: int = 8 << 20):
         total += int(n)
     if len(batch_texts) > first:
         yield first, batch_texts.slice(first)
+
+
+def ngrams(data: np.ndarray, n: int, bits: int, salt: int = 0) -> np.ndarray:
+    """A bucket below 2**bits for the n bytes from each position on; the last n-1 positions have none.  n is 8 at most."""
+    size = max(0, len(data) - n + 1)
+    key = data[:size].astype(U64)
+    for k in range(1, n):
+        key <<= U64(8)
+        key |= data[k : k + size]
+    key += U64(salt)
+    key *= _BASE
+    key ^= key >> U64(32)
+    key *= U64(0xD6E8FEB86659FD93)
+    key >>= U64(64 - bits)
+    return key.astype(np.int64)
+
+
+def row_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of values[first:last] for each pair; values may have columns."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
+    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
+    return total[np.maximum(last, first)] - total[first]
