@@ -93,11 +93,12 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("text", pa.string()), ("lang", pa.string())])
-        table = pa.Table.from_batches(list(batches), schema).sort_by([("h", "ascending"), ("lang", "ascending")]).slice(0, train_rows)
+        table = tb.gather(batches, schema).sort_by([("h", "ascending"), ("lang", "ascending")]).slice(0, train_rows)
         model = train(table["text"].combine_chunks().cast(pa.large_string()), table["lang"].to_pylist())
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.to_bytes()], pa.binary())})
 
-    return TextModel.from_bytes(bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"]))
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return TextModel.from_bytes(bytes(found["model"])) if found else train(pa.array([], pa.large_string()), [])
 
 
 def _evidence(spark: SparkSession, model: TextModel):

@@ -185,13 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int32()), ("toxic", pa.int32())]))
+        table = tb.gather(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int32()), ("toxic", pa.int32())]))
         table = table.append_column("h", pa.array([hash((x, 1)) & 0xFFFFFFFF for x in table["doc_id"].to_pylist()], pa.int64()))
         table = table.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
         y = np.stack([table[c].to_numpy() for c in ("quality", "toxic")], 1).astype(np.float64) if len(table) else np.zeros((0, _HEADS))
         yield pa.RecordBatch.from_pydict({"model": pa.array([train(table["text"].combine_chunks().cast(pa.large_string()), y).to_bytes()], pa.binary())})
 
-    return Model.from_bytes(bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"]))
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return Model.from_bytes(bytes(found["model"])) if found else train(pa.array([], pa.large_string()), np.zeros((0, _HEADS)))
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_quality_rules": "quality_rules",
     "op5_line_dedup": "line_dedup",
+    "op10_language_fusion": "language_fusion",
 }
 
 

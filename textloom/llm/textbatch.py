@@ -118,3 +118,9 @@ def row_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
     return total[np.maximum(last, first)] - total[first]
+
+
+def gather(batches, schema: pa.Schema) -> pa.Table:
+    """All batches as one table of that schema."""
+    batches = list(batches)
+    return pa.Table.from_batches(batches).cast(schema) if batches else schema.empty_table()
