@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_license_scan": "license_scan",
     "op5_line_dedup": "line_dedup",
     "op10_language_fusion": "language_fusion",
 }

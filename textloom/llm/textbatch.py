@@ -57,13 +57,13 @@ def buffers(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each maximal run of non-space bytes."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each maximal run of bytes that don't end a word."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
     inside = np.empty(len(data) + 1, np.int8)
     inside[0] = 0
-    np.logical_not(SPACE[data], out=inside[1:].view(bool))
+    np.logical_not(breaks[data], out=inside[1:].view(bool))
     step = np.diff(inside)
     start = np.flatnonzero(step == 1)
     end = np.flatnonzero(step == -1)
