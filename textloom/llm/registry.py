@@ -7,7 +7,10 @@ import importlib
 _MODULES = {
     "op1_quality_rules": "quality_rules",
     "op2_license_scan": "license_scan",
+    "op3_secret_scan": "secret_scan",
+    "op4_packing": "packing",
     "op5_line_dedup": "line_dedup",
+    "op9_sharding": "sharding",
     "op10_language_fusion": "language_fusion",
 }
 
