@@ -10,6 +10,7 @@ _MODULES = {
     "op3_secret_scan": "secret_scan",
     "op4_packing": "packing",
     "op5_line_dedup": "line_dedup",
+    "op7_simhash_forest": "simhash_forest",
     "op9_sharding": "sharding",
     "op10_language_fusion": "language_fusion",
 }
