@@ -11,6 +11,7 @@ _MODULES = {
     "op4_packing": "packing",
     "op5_line_dedup": "line_dedup",
     "op7_simhash_forest": "simhash_forest",
+    "op8_decontaminate": "decontaminate",
     "op9_sharding": "sharding",
     "op10_language_fusion": "language_fusion",
 }
