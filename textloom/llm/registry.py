@@ -10,6 +10,7 @@ _MODULES = {
     "op3_secret_scan": "secret_scan",
     "op4_packing": "packing",
     "op5_line_dedup": "line_dedup",
+    "op6_warc_fixity": "warc_fixity",
     "op7_simhash_forest": "simhash_forest",
     "op8_decontaminate": "decontaminate",
     "op9_sharding": "sharding",
