@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import materialize
+from textloom.llm.decontaminate import decontaminate
 from textloom.llm.line_dedup import line_dedup
+from textloom.llm.packing import packing
+from textloom.llm.quality_rules import fit, quality_filter
+from textloom.llm.simhash_forest import drop_near_duplicates
 from textloom.session import ship
 
 
-def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share, gone from all but one of them."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject, which are fitted on those of docs that have labels."""
+    return quality_filter(docs, fit(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them."""
     return line_dedup(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    ship(spark)
+    return drop_near_duplicates(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return decontaminate(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' segments in windows and steps."""
+    ship(spark)
+    return packing(docs)
+
+
 STAGES = [
-    ("line dedup", dedupe_lines),
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", contamination),
+    ("packing", pack),
 ]
 
-#: The first stage scores with a trained model and the third searches by random bits: SQL can't express them.
+#: The first stage scores with a trained model, the third searches by random bits, the last packs greedily: SQL can't express them.
 ORACLE_SQL = None
 
 
