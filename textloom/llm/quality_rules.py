@@ -117,41 +117,60 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
     if n < 8:
         p = np.clip((labels.sum(0) + [1, 0]) / (n + 1), 0.01, 0.99)
         return Model(weights, np.log(p / (1 - p)), np.ones(_HEADS), np.zeros(_HEADS))
-    parts: list[tuple[np.ndarray, ...]] = []
-    for first, part in tb.chunks(texts, 4 << 20):
-        for g, (bucket, lo, hi) in enumerate(_features(part)):
-            many = hi - lo
-            row = np.repeat(np.arange(len(part)), many)
-            inside = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            key, count = np.unique(row.astype(np.int64) << BITS | bucket[inside], return_counts=True)
-            r = key >> BITS
-            values = [(count / _norm(many[r], head)).astype(np.float32) for head in range(_HEADS)]
-            parts.append(((key & ((1 << BITS) - 1)) + (_table(g) << BITS), r + first, *values))
-    at, rows, *values = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(rows, kind="stable")
-    at, rows, values = at[order], rows[order], [v[order] for v in values]
+    up, down = np.zeros((_HEADS, 2 << BITS), np.int32), np.zeros((_HEADS, 2 << BITS), np.int32)
+    for r, at, _, _ in _entries(texts):  # document frequencies first: most features then need no room
+        for head in range(_HEADS):
+            for df, which in ((up, labels[:, head] > 0), (down, labels[:, head] <= 0)):
+                df[head] += np.bincount(at[which[r] & ~held[r]], minlength=2 << BITS).astype(np.int32)
+    ratio = np.stack([_log_ratio(up[h], down[h], labels[~held, h]) for h in range(_HEADS)])
+    ratio[1, 1 << BITS :] = 0
+    kept: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(_HEADS)]
+    for r, at, count, many in _entries(texts):
+        for head in range(_HEADS):
+            use = np.flatnonzero(ratio[head][at])
+            kept[head].append((r[use].astype(np.int32), at[use].astype(np.int32), (count[use] / _norm(many[use], head) * ratio[head][at[use]]).astype(np.float32)))
     bias = np.zeros(_HEADS)
     for head in range(_HEADS):
-        used = slice(None) if head == 0 else at < 1 << BITS
-        bias[head] = _fit_head(at[used], rows[used], values[head][used], labels[:, head], held, weights[head].reshape(-1), epochs, np.random.default_rng(seed))
+        rows, at, value = (np.concatenate(x) for x in zip(*kept[head]))
+        kept[head].clear()
+        w, bias[head] = _fit_head(rows, at, value, labels[:, head], np.flatnonzero(~held), epochs, np.random.default_rng(seed))
+        weights[head] = (w * ratio[head]).reshape(2, -1)
     model = Model(weights, bias, np.ones(_HEADS), np.zeros(_HEADS))
     z = model.margins(texts.filter(pa.array(held)))
     model.slope, model.offset = (np.array(x) for x in zip(*(_platt(z[:, k], labels[held, k]) for k in range(_HEADS))))
     return model
 
 
-def _fit_head(at: np.ndarray, rows: np.ndarray, value: np.ndarray, y: np.ndarray, held: np.ndarray, weights: np.ndarray, epochs: int, rng: np.random.Generator) -> float:
-    """Writes a head's weights and returns its intercept."""
-    fit = np.flatnonzero(~held)
-    up, seen = y[rows] > 0, ~held[rows]
-    df1, df0 = np.bincount(at[seen & up], minlength=len(weights)), np.bincount(at[seen & ~up], minlength=len(weights))
-    n1 = int(y[fit].sum())
-    ratio = np.log((df1 + 1) / (n1 + 2)) - np.log((df0 + 1) / (len(fit) - n1 + 2))
-    ratio = np.where(df1 + df0 >= 3, ratio * (df1 + df0) / (df1 + df0 + 20), 0).astype(np.float32)
-    keep = np.abs(ratio[at]) > 0.05
-    at, rows, value = at[keep], rows[keep], value[keep] * ratio[at[keep]]
+def _entries(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, feature, count and number of features of its group, for each feature of each row; rows ascend."""
+    for first, part in tb.chunks(texts, 1 << 20):
+        keys, counts, sizes = [], [], []
+        for g, (bucket, lo, hi) in enumerate(_features(part)):
+            many = hi - lo
+            row = np.repeat(np.arange(len(part)), many)
+            inside = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            key, count = np.unique((row << (BITS + 1)) | (_table(g) << BITS) | bucket[inside], return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            sizes.append(many[key >> (BITS + 1)])
+        key, count, size = map(np.concatenate, (keys, counts, sizes))
+        order = np.argsort(key >> (BITS + 1), kind="stable")
+        key = key[order]
+        yield (key >> (BITS + 1)) + first, key & ((2 << BITS) - 1), count[order], size[order]
+
+
+def _log_ratio(up: np.ndarray, down: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shrunken log ratio of a feature's frequencies in the two classes; 0 for features that are rare or tell little."""
+    n = y.sum()
+    ratio = np.log((up + 1) / (n + 2)) - np.log((down + 1) / (len(y) - n + 2))
+    ratio *= (up + down) / (up + down + 20)
+    return np.where((up + down >= 3) & (np.abs(ratio) > 0.1), ratio, 0).astype(np.float32)
+
+
+def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, fit: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Weights and intercept."""
     begin = np.searchsorted(rows, np.arange(len(y) + 1))
-    w, square = np.zeros(len(weights), np.float32), np.full(len(weights), 1e-3, np.float32)
+    w, square = np.zeros(2 << BITS, np.float32), np.full(2 << BITS, 1e-3, np.float32)
     rate = np.clip(y[fit].mean(), 0.01, 0.99)
     bias = float(np.log(rate / (1 - rate)))
     for epoch in range(epochs):
@@ -163,13 +182,12 @@ def _fit_head(at: np.ndarray, rows: np.ndarray, value: np.ndarray, y: np.ndarray
             i, v, ends = at[inside], value[inside], np.cumsum(many)
             err = (_sigmoid(tb.row_sums(w[i] * v, ends - many, ends) + bias) - y[docs]) / len(docs)
             bias -= 0.3 * float(err.sum())
-            g = np.bincount(i, np.repeat(err, many) * v, len(weights)).astype(np.float32)
+            g = np.bincount(i, np.repeat(err, many) * v, len(w))
             where = np.flatnonzero(g)
-            d = g[where] + 1e-5 * w[where]
+            d = (g[where] + 1e-5 * w[where]).astype(np.float32)
             square[where] += d * d
             w[where] -= 0.1 / (1 + 0.2 * epoch) * d / np.sqrt(square[where])
-    weights[:] = w * ratio
-    return bias
+    return w, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
