@@ -203,17 +203,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
     """docs without those that hold an item as matches() finds it; the same columns, and no shuffle.  Null texts stay."""
     out = docs
     for part in slices(items, slice_chars=slice_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(part)  # slice_chars bounds it
-        cache: dict = {}
+        out = out.where(~_holds(docs.sparkSession, part, error_rate, least_chars)(col(out, text_col)))
+    return out
 
-        def holds(texts: pa.Array, shared=shared, cache=cache) -> pa.Array:
-            if "searcher" not in cache:
-                cache["searcher"] = Searcher(shared.value, error_rate, least_chars)
-            return pa.array([bool(cache["searcher"].search(t or "", True)) for t in texts.to_pylist()], pa.bool_())
 
-        holds.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        out = out.where(~F.arrow_udf(holds, "boolean").asNondeterministic()(col(out, text_col)))
-    return out
+def _holds(spark: SparkSession, part: list[tuple[int, str]], error_rate: float, least_chars: int):
+    """A column function: whether a text holds one of the items."""
+    shared = spark.sparkContext.broadcast(part)  # slice_chars bounds it
+    cache: dict = {}
+
+    def holds(texts: pa.Array) -> pa.Array:
+        if "searcher" not in cache:
+            cache["searcher"] = Searcher(shared.value, error_rate, least_chars)
+        return pa.array([bool(cache["searcher"].search(t or "", True)) for t in texts.to_pylist()], pa.bool_())
+
+    holds.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(holds, "boolean").asNondeterministic()  # so that it runs once a row
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
