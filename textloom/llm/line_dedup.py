@@ -25,13 +25,14 @@ def _whole(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[ \t\r\f\x0b]+", " ")
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """docs with the lines removed that more than ``threshold`` distinct documents hold.
 
     A line's normal form is lower-cased, with runs of blanks made one and trimmed.  Lines of fewer than ``min_words`` words say
     nothing about copying: they are neither counted nor removed.  The copy in the document with the lowest id stays, so that
     nothing is lost from the corpus as a whole: of a group of copied documents one keeps its text.  The other lines keep
-    their place and spelling.  ``counts`` adds n_lines and n_dropped.
+    their place and spelling.  ``counts`` adds n_lines and n_dropped; ``drop_emptied`` leaves out the documents of which nothing but
+    white space is left.
 
     Plan: lines are exploded to 128-bit hashes; distinct documents are counted per hash with partial aggregation before each
     shuffle; only hashes, ids and positions go through these shuffles, and the text through one, to meet its mask.
@@ -55,6 +56,8 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN
     if counts:
         out.append(F.coalesce(F.size(F.split(col(joined, text_col), "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
         out.append(F.coalesce(F.size(F.filter(F.col(mask), lambda x: x)), F.lit(0)).cast("long").alias("n_dropped"))
+    if drop_emptied:
+        joined = joined.where(F.col(mask).isNull() | (F.regexp_replace(rest, r"\s+", "") != ""))
     return joined.select(*out)
 
 
