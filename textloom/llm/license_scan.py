@@ -78,7 +78,7 @@ class Matcher:
         """Of the templates of a size that can reach the threshold, the best; of those that tie, the first listed."""
         n, own, found = len(pairs), None, None
         for size, name, i, bag in self.templates:
-            if self.least * n <= size <= n / self.least:
+            if self.least * n - 1e-9 <= size <= n / self.least + 1e-9:
                 own = own or Counter(pairs.tolist())
                 dice = 2 * sum(min(k, bag[x]) for x, k in own.items() if x in bag) / (n + size)
                 if dice >= self.threshold and (found is None or dice > found[0]):
@@ -103,7 +103,7 @@ class Matcher:
         for unit, cuts, parts in (("line", lines, None), ("block", blocks, lines), ("document", whole, blocks)):
             a, b = cuts[:-1], cuts[1:]
             n = b - a - 1
-            ok = (n >= max(1, self.smallest)) & (n <= self.largest) & (hit[b - 1] - hit[a] >= self.least * n - 1e-9)
+            ok = (n >= max(1, self.smallest - 1e-9)) & (n <= self.largest + 1e-9) & (hit[b - 1] - hit[a] >= self.least * n - 1e-9)
             if parts is not None:  # a unit of one part is that part
                 ok &= np.searchsorted(parts, b) - np.searchsorted(parts, a) > 1
             for k in np.flatnonzero(ok):
