@@ -38,10 +38,12 @@ def leaves(recs: DataFrame) -> DataFrame:
     # floor of a negative id is negative: shifted so that -1 stays free for records without an id
     archive = F.when(F.col("record_id") < 0, archive - 1).otherwise(archive)
     placed = recs.select(archive.alias("archive"), slot.alias("slot"), "record_id", "length", "digest")
-    order = Window.partitionBy("archive").orderBy("slot", "digest")
-    start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     copy = F.row_number().over(Window.partitionBy("archive", "slot").orderBy("digest"))
-    return materialize(placed.select("archive", "slot", copy.cast("long").alias("copy"), "record_id", start.alias("start"), "length", "digest"), "leaves")
+    order = Window.partitionBy("archive").orderBy("slot", "copy")
+    start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # both windows and the trees use the partitioning by archive
+    placed = placed.repartition("archive").withColumn("copy", copy.cast("long"))
+    return materialize(placed.select("archive", "slot", "copy", "record_id", start.alias("start"), "length", "digest"), "leaves")
 
 
 def _parent(children: DataFrame, node: Column, order: str) -> DataFrame:
@@ -135,9 +137,9 @@ def _sql() -> str:
     def recs(source: str) -> str:
         body, url = "coalesce(html, '')", "coalesce(url, '')"
         text = f"'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || {url} || chr(13) || chr(10) || 'Content-Length: ' || strlen({body}) || chr(13) || chr(10) || chr(13) || chr(10) || {body} || chr(13) || chr(10) || chr(13) || chr(10)"
-        return f"""SELECT archive, slot, row_number() OVER (PARTITION BY archive, slot ORDER BY digest) AS copy, page_id AS record_id,
-      coalesce(sum(length) OVER (PARTITION BY archive ORDER BY slot, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length, digest
-    FROM (SELECT page_id, page_id // {SLOTS} AS archive, page_id % {SLOTS} AS slot, strlen(record) AS length, sha256(record) AS digest FROM (SELECT page_id, {text} AS record FROM {source}))"""
+        return f"""SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY slot, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM (SELECT *, row_number() OVER (PARTITION BY archive, slot ORDER BY digest) AS copy
+      FROM (SELECT page_id AS record_id, page_id // {SLOTS} AS archive, page_id % {SLOTS} AS slot, strlen(record) AS length, sha256(record) AS digest FROM (SELECT page_id, {text} AS record FROM {source})))"""
 
     parts = [f"""WITH rotten AS (
   SELECT page_id, url, CASE WHEN lot = '00' THEN substr(html, 1, length(html) // 2) || chr(127) || substr(html, length(html) // 2 + 2) ELSE html END AS html
