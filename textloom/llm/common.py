@@ -62,6 +62,11 @@ def col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text holds anything but white space; false for null."""
+    return F.coalesce(text.rlike(r"\S"), F.lit(False))
+
+
 def doc_key(df: DataFrame, id_col: str) -> Column:
     return F.coalesce(col(df, id_col).cast("long"), F.lit(NO_ID))
 

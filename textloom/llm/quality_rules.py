@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import col
+from .common import col, has_words
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 TRAIN_ROWS = 6000
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col
     """
     label = labels.select(col(labels, id_col).cast("long").alias("doc_id"), F.col("quality").cast("int"), F.col("toxic").cast("int")).dropna()
     chosen = label.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality", "toxic").limit(train_rows)
-    texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).where(F.trim(F.col("text")) != "")
+    texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).where(has_words(F.col("text")))
     # train_rows bounds the broadcast side
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
 
@@ -232,7 +232,7 @@ def scorer(spark: SparkSession, model: Model):
 
 
 def verdict(p: Column, text: Column) -> Column:
-    return F.coalesce((F.trim(text) != "") & (p["quality"] >= LEAST_QUALITY) & (p["toxic"] < MOST_TOXIC), F.lit(False))
+    return F.coalesce(has_words(text) & (p["quality"] >= LEAST_QUALITY) & (p["toxic"] < MOST_TOXIC), F.lit(False))
 
 
 def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +243,7 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     text aren't read.
     """
     rows = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"))
-    scored = rows.select("doc_id", (F.trim(F.coalesce("text", F.lit(""))) != "").alias("some"), scorer(docs.sparkSession, model)("text").alias("p"))
+    scored = rows.select("doc_id", has_words(F.col("text")).alias("some"), scorer(docs.sparkSession, model)("text").alias("p"))
     p_quality, p_toxic = (F.when(F.col("some"), F.col(f"p.{x}")).otherwise(0.0) for x in ("quality", "toxic"))
     scored = scored.select("doc_id", "some", p_quality.alias("p_quality"), p_toxic.alias("p_toxic"))
     return scored.select("doc_id", "p_quality", "p_toxic", (F.col("some") & (F.col("p_quality") >= LEAST_QUALITY) & (F.col("p_toxic") < MOST_TOXIC)).alias("keep"))
