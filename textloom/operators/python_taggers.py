@@ -447,7 +447,7 @@ def visible_text(page: str) -> str:
     return "".join(p.parts)
 
 
-_COMMENT = {"python": r"(?m)#.*$|\"\"\".*?\"\"\"|'''.*?'''", "java": r"(?m)//.*$|/\*.*?\*/", "javascript": r"(?m)//.*$|/\*.*?\*/"}
+_COMMENT = {"python": r"#[^\n]*|\"\"\".*?\"\"\"|'''.*?'''", "java": r"//[^\n]*|/\*.*?\*/", "javascript": r"//[^\n]*|/\*.*?\*/"}
 
 
 def _starcoder(only_known: bool):

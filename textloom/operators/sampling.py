@@ -11,14 +11,14 @@ from ..functions.text import strip
 
 
 def hash_suffixes(probability: float) -> list[str]:
-    """Hexadecimal endings, from f downwards, whose share of all hashes is the probability as nearly as few digits allow."""
+    """Hexadecimal endings whose share of all hashes is the probability, rounded to one digit: digits from f downwards, after as
+    many f as it takes for one digit to hold the share."""
     if not 0 < probability <= 1:
         raise ValueError("a probability is over 0 and 1 at most")
-    digits = 1
-    while probability * 16**digits < 1:
-        digits += 1
-    many = max(1, int(probability * 16**digits))
-    return [format(16**digits - 1 - k, f"0{digits}x") for k in range(many)]
+    head = ""
+    while probability * 16 < 1:
+        head, probability = head + "f", probability * 16
+    return [head + "fedcba9876543210"[k] for k in range(round(probability * 16))]
 
 
 def hash_sample(docs: DataFrame, probability: float, complement: bool = False, text_col: str = "text") -> DataFrame:

@@ -25,12 +25,20 @@ def summarize(tagged: DataFrame, name_pattern: str | None = None) -> DataFrame:
     return rows.groupBy("name", "metric").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
 
 
+def _frexp(v: Column) -> tuple[Column, Column]:
+    """Binary exponent and mantissa of 0.5 up to 1, 0 and 0 for 0; corrected where the logarithm rounds the wrong way."""
+    e = F.floor(F.log2(F.abs(v))) + 1
+    m = F.abs(v) / F.pow(F.lit(2.0), e)
+    e = F.when(v == 0, 0).otherwise(e + (m >= 1).cast("int") - (m < 0.5).cast("int")).cast("int")
+    return e, F.when(v == 0, 0.0).otherwise(v / F.pow(F.lit(2.0), e))
+
+
 def value_buckets(values: DataFrame, value_col: str = "value", digits: int = 5) -> DataFrame:
     """(exponent, mantissa, n, total): values by binary exponent and by mantissa cut to so many decimals, so that buckets are finer for
     smaller values and their number is bounded whatever the data."""
     v = F.col(value_col)
-    exponent = F.when(v == 0, 0).otherwise(F.floor(F.log2(F.abs(v))) + 1).cast("int")
-    mantissa = F.when(v == 0, 0).otherwise(F.floor(v / F.pow(F.lit(2.0), exponent) * 10**digits)).cast("long")
+    exponent, mantissa = _frexp(v)
+    mantissa = F.floor(mantissa * 10**digits).cast("long")
     return values.where(v.isNotNull()).groupBy(exponent.alias("exponent"), mantissa.alias("mantissa")).agg(F.count("*").alias("n"), F.sum(v).alias("total"))
 
 
@@ -77,9 +85,8 @@ def histograms(tagged: DataFrame, bins: int = 100, by_count: bool = False, name_
     zero = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit(0.0).alias("score"))).cast(SPANS)
     rows = its.select("name", F.explode(F.when(F.size("spans") > 0, F.col("spans")).otherwise(zero)).alias("s"))
     rows = rows.select("name", F.explode(F.create_map(F.lit("score"), F.col("s.score"), F.lit("length"), (F.col("s.end") - F.col("s.start")).cast("double"))).alias("metric", "v"))
-    v = F.col("v")
-    exponent = F.when(v == 0, 0).otherwise(F.floor(F.log2(F.abs(v))) + 1).cast("int")
-    mantissa = F.when(v == 0, 0).otherwise(F.floor(v / F.pow(F.lit(2.0), exponent) * 100_000)).cast("long")
+    exponent, mantissa = _frexp(F.col("v"))
+    mantissa = F.floor(mantissa * 100_000).cast("long")
     buckets = rows.groupBy("name", "metric", exponent.alias("e"), mantissa.alias("m")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
     def bin_up(pdf):
@@ -93,11 +100,15 @@ def histograms(tagged: DataFrame, bins: int = 100, by_count: bool = False, name_
     return buckets.groupBy("name", "metric").applyInPandas(bin_up, "name string, metric string, bin long, low double, high double, n double")
 
 
+def _among(words: str, wanted: list[str]) -> Column:
+    return F.size(F.filter(words, lambda x: x.isin(wanted)))
+
+
 def corpus_stats(docs: DataFrame, by: list[str], text_col: str = "text") -> DataFrame:
     """Documents, words, characters and bytes of each group, and pronouns of three kinds."""
     words = split_words(F.lower(F.col(text_col)))
     kinds = {"she": ["she", "her", "hers", "herself"], "he": ["he", "him", "his", "himself"], "they": ["they", "them", "their", "theirs", "themselves"]}
-    sums = [F.sum(F.size(F.filter("w", lambda x, k=k: x.isin(kinds[k])))).alias(f"pronouns_{k}") for k in kinds]
+    sums = [F.sum(_among("w", its)).alias(f"pronouns_{k}") for k, its in kinds.items()]
     return docs.select(*by, F.col(text_col).alias("t"), words.alias("w")).groupBy(*by).agg(F.count("*").alias("documents"), F.sum(F.size("w")).alias("words"), F.sum(F.length("t")).alias("characters"), F.sum(F.octet_length("t")).alias("bytes"), *sums)
 
 
@@ -130,6 +141,10 @@ def covered(spans: str = "spans") -> Column:
     )["n"]
 
 
+def _hits(attribute: str, test, bound: float) -> Column:
+    return F.filter(F.coalesce(F.try_element_at("attributes", F.lit(attribute)), F.array().cast(SPANS)), lambda s: test(s["score"], F.lit(bound)))
+
+
 def rule_coverage(tagged: DataFrame, rules: dict[str, tuple[str, str, float]]) -> DataFrame:
     """(rule, documents, characters) that each rule (attribute, ">" or "<", bound) hits."""
     import operator
@@ -137,7 +152,7 @@ def rule_coverage(tagged: DataFrame, rules: dict[str, tuple[str, str, float]]) -
     out = None
     for name, (attribute, op, bound) in rules.items():
         test = {">": operator.gt, "<": operator.lt}[op]
-        hit = F.filter(F.coalesce(F.try_element_at("attributes", F.lit(attribute)), F.array().cast(SPANS)), lambda s, test=test, bound=bound: test(s["score"], F.lit(bound)))
+        hit = _hits(attribute, test, bound)
         rows = tagged.select(hit.alias("spans")).where(F.size("spans") > 0).select(covered().alias("c")).agg(F.lit(name).alias("rule"), F.count("*").alias("documents"), F.coalesce(F.sum("c"), F.lit(0)).alias("characters"))
         out = rows if out is None else out.unionByName(rows)
     return out
