@@ -38,7 +38,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", *more)
+    """Documents; a table of fewer files than the cluster has cores is spread over them once, as taggers cost more than that."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", *more)
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "id") if len(docs.inputFiles()) < cores else docs
 
 
 _WORD = r"regexp_extract_all(text, '[\pL\pN\pM\p{Pc}]+|[^\pL\pN\pM\p{Pc}\s]+')"

@@ -83,11 +83,11 @@ def visited(n: int, stride: int) -> list[int]:
 
 def paragraph_ngrams(text: str, length: int, stride: int, separator: str = "\n") -> list[tuple[int, int, int, list[str]]]:
     """(start, end, words, n-grams) of each paragraph; an n-gram is its words joined by blanks."""
-    from .python_taggers import words_uax29
+    from .python_taggers import word_segments
 
     out, at = [], 0
     for body in text.split(separator):
-        words = [w for w in words_uax29(body) if not w.isspace()]
+        words = word_segments(body)
         grams = [" ".join(words[k : k + length]) for k in visited(len(words) - length + 1, stride)]
         out.append((at, at + len(body), len(words), grams))
         at += len(body) + 1

@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import none, paragraphs, span, split_lines, split_words, strip, whole
+from ..functions.text import strip, whole
 from .registry import native
 
-#: Words and phrases that a clean text doesn't hold; supply a list of one's own with set_naughty_words().
-NAUGHTY = ["viagra", "porn", "xxx", "hardcore sex"]
-
-
-def set_naughty_words(words: list[str]) -> None:
-    NAUGHTY[:] = [w.lower() for w in words]
-
-
 @native("bytes_length_v1")
 def bytes_length(text: Column, _id: Column) -> dict[str, Column]:
     """UTF-8 bytes of the text."""
@@ -40,78 +32,7 @@ def char_length_strip(text: Column, _id: Column) -> dict[str, Column]:
     return {"length": whole(text, F.length(strip(text)))}
 
 
-@native("char_length_with_paragraphs_v1")
-def char_length_paragraphs(text: Column, _id: Column) -> dict[str, Column]:
-    """Code points of each paragraph and of the document."""
-    parts = F.transform(paragraphs(text), lambda p: span(p["start"], p["end"], F.length(p["body"])))
-    return {"paragraph": parts, "document": whole(text, F.length(text))}
-
-
-def _tokens(text: Column) -> Column:
-    """Parts between tokens of word characters or of other visible characters: one more than there are tokens."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"(?U)(\w+|[^\w\s]+)"), 1)) + 1
-
-
-@native("whitespace_tokenizer_v1")
-def whitespace_tokens(text: Column, _id: Column) -> dict[str, Column]:
-    """One more than the tokens of the text."""
-    return {"length": whole(text, _tokens(text))}
-
-
-@native("whitespace_tokenizer_with_paragraphs_v1")
-def whitespace_tokens_paragraphs(text: Column, _id: Column) -> dict[str, Column]:
-    """The same of each paragraph, and their sum."""
-    parts = F.transform(paragraphs(text), lambda p: span(p["start"], p["end"], _tokens(p["body"])))
-    return {"paragraph": parts, "document": whole(text, F.aggregate(parts, F.lit(0.0), lambda a, s: a + s["score"]))}
-
-
 @native("random_number_v1")
 def random_number(text: Column, doc_id: Column) -> dict[str, Column]:
     """A number from 0 up to 1, fixed by the document's id."""
     return {"random": whole(text, F.pmod(F.xxhash64(doc_id, F.lit(97)), F.lit(1 << 52)) / float(1 << 52))}
-
-
-def _c4(text: Column, lines_of: Column, substring: bool) -> dict[str, Column]:
-    lower = F.lower(text)
-    lines = split_lines(lines_of)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,body:string>>")
-    # a line's span takes its newline in
-    placed = F.aggregate(
-        lines,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x) + 1).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.least(acc["at"] + F.length(x) + 1, F.length(lines_of).cast("long")).alias("end"), x.alias("body")))).alias("out"),
-        ),
-    )["out"]
-    ends = lambda p: strip(F.lower(p["body"])).rlike(r'[.?!"]$')
-    one = lambda p: span(p["start"], p["end"], 1.0)
-    words = split_words(lower)
-    single = [w for w in NAUGHTY if " " not in w]
-    phrases = [w for w in NAUGHTY if " " in w]
-    naughty = F.exists(words, lambda w: w.isin(single)) if single else F.lit(False)
-    for phrase in phrases:
-        naughty |= lower.contains(phrase)
-    script = lower.contains("javascript") if substring else F.array_contains(words, "javascript")
-    flag = lambda c: F.when(c, whole(text, 1.0)).otherwise(none())
-    return {
-        "lines_with_no_ending_punctuation": F.transform(F.filter(placed, lambda p: ~ends(p)), one),
-        "lines_with_too_few_words": F.transform(F.filter(placed, lambda p: F.size(split_words(p["body"])) < 3), one),
-        "has_naughty_word": flag(naughty),
-        "has_javascript": flag(script),
-        "has_lorem_ipsum": flag(lower.contains("lorem ipsum")),
-        "has_curly_brace": flag(text.contains("{")),
-        "line_count": whole(text, F.size(lines)),
-    }
-
-
-@native("c4_v1")
-def c4_v1(text: Column, _id: Column) -> dict[str, Column]:
-    """Rules of a cleaned web crawl: lines without end, short lines, forbidden words, code."""
-    return _c4(text, text, substring=False)
-
-
-@native("c4_v2")
-def c4_v2(text: Column, _id: Column) -> dict[str, Column]:
-    """The same on the lower-cased text, with "javascript" anywhere in it."""
-    return _c4(text, F.lower(text), substring=True)

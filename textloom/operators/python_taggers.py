@@ -8,6 +8,7 @@ import re
 import statistics
 from collections import Counter
 
+import numpy as np
 import regex
 
 from .registry import Spans, add_tagger
@@ -38,22 +39,43 @@ def words_uax29(text: str) -> list[str]:
     return [x for x in regex.split(r"(?V1w)\b", text) if x]
 
 
+_SEGMENTS: dict[str, tuple[str, ...]] = {}
+
+
+def word_segments(text: str) -> list[str]:
+    """The segments that aren't white space.  Blanks always end a segment, so the parts between them are segmented once each and kept."""
+    out: list[str] = []
+    kept = _SEGMENTS
+    for part in text.split():
+        its = kept.get(part)
+        if its is None:
+            its = (part,) if part.isascii() and part.isalnum() else tuple(words_uax29(part))
+            if len(kept) < 300_000:
+                kept[part] = its
+        out += its
+    return out
+
+
 def _ngram_shares(words: list[str], total: int) -> dict[str, float]:
-    out = {}
+    """Shares of the characters in the most common and in repeated n-grams; an n-gram's number comes from those of its first n-1 words
+    and of its last, so equal numbers are equal n-grams."""
+    out: dict[str, float] = {}
+    numbers: dict[str, int] = {}
+    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code, chars = ids, size
     for n in range(2, 11):
         if len(words) < n:
             break
-        counts = Counter(zip(*(words[k:] for k in range(n))))
+        chars = chars[:-1] + size[n - 1 :]
+        _, first, code, many = np.unique(code[:-1] * len(numbers) + ids[n - 1 :], return_index=True, return_inverse=True, return_counts=True)
         if n <= 4:
-            gram, many = counts.most_common(1)[0]
-            out[f"fraction_of_characters_in_most_common_{n}grams"] = many * sum(map(len, gram)) / max(total, 1)
+            top = many.max()
+            at = first[many == top].min()
+            out[f"fraction_of_characters_in_most_common_{n}grams"] = float(top * chars[at] / max(total, 1))
         else:
-            inside = repeated = 0
-            for gram, many in counts.items():
-                chars = many * sum(map(len, gram))
-                inside += chars
-                repeated += chars if many > 1 else 0
-            out[f"fraction_of_characters_in_duplicate_{n}grams"] = repeated / max(inside, 1)
+            weight = many * chars[first]
+            out[f"fraction_of_characters_in_duplicate_{n}grams"] = float(weight[many > 1].sum() / max(weight.sum(), 1))
     return out
 
 
@@ -80,6 +102,83 @@ def _gopher(text: str, line_break: str) -> Spans:
     return {k: [(0, len(text), v)] for k, v in scores.items()}
 
 
+@add_tagger("char_length_with_paragraphs_v1")
+def char_length_paragraphs():
+    """Code points of each paragraph and of the document."""
+    return lambda text, _: {"paragraph": [(a, b, b - a) for a, b, _ in split_paragraphs(text)], "document": [(0, len(text), len(text))]}
+
+
+_TOKENS = re.compile(r"\w+|[^\w\s]+")
+
+
+@add_tagger("whitespace_tokenizer_v1")
+def whitespace_tokens():
+    """Parts between tokens of word characters or of other visible ones: one more than there are tokens."""
+    return lambda text, _: {"length": [(0, len(text), len(_TOKENS.findall(text)) + 1)]}
+
+
+@add_tagger("whitespace_tokenizer_with_paragraphs_v1")
+def whitespace_tokens_paragraphs():
+    """The same of each paragraph, and their sum."""
+
+    def predict(text, _):
+        parts = [(a, b, len(_TOKENS.findall(body)) + 1) for a, b, body in split_paragraphs(text)]
+        return {"paragraph": parts, "document": [(0, len(text), sum(n for *_, n in parts))]}
+
+    return predict
+
+
+#: Words and phrases that a clean text doesn't hold; set_naughty_words() sets a list of one's own before taggers are applied.
+NAUGHTY = ["viagra", "porn", "xxx", "hardcore sex"]
+_C4_TYPES = ("lines_with_no_ending_punctuation", "lines_with_too_few_words", "has_naughty_word", "has_javascript", "has_lorem_ipsum", "has_curly_brace")
+
+
+def set_naughty_words(words: list[str]) -> None:
+    NAUGHTY[:] = [w.lower() for w in words]
+
+
+def _c4(substring: bool, listed: list[str]):
+    single, phrases = {w for w in listed if " " not in w}, [w for w in listed if " " in w]
+
+    def predict(text, _):
+        out: Spans = {k: [] for k in _C4_TYPES}
+        lower, seen, at = text.lower(), set(), 0
+        lines = (lower if substring else text).split("\n")
+        for k, line in enumerate(lines):
+            end = at + len(line) + (k < len(lines) - 1)
+            body = line.lower().strip()
+            words = body.split()
+            seen.update(words)
+            if body[-1:] not in (".", "?", "!", '"') or not body:
+                out["lines_with_no_ending_punctuation"].append((at, end, 1.0))
+            if len(words) < 3:
+                out["lines_with_too_few_words"].append((at, end, 1.0))
+            at = end
+        hits = {
+            "has_naughty_word": not seen.isdisjoint(single) or any(x in lower for x in phrases),
+            "has_javascript": "javascript" in (lower if substring else seen),
+            "has_lorem_ipsum": "lorem ipsum" in lower,
+            "has_curly_brace": "{" in text,
+        }
+        out |= {k: [(0, len(text), 1.0)] for k, hit in hits.items() if hit}
+        out["line_count"] = [(0, len(text), len(lines))]
+        return out
+
+    return predict
+
+
+@add_tagger("c4_v1")
+def c4_v1():
+    """Rules of a cleaned web crawl: lines without end, short lines, forbidden words, code."""
+    return _c4(False, NAUGHTY)
+
+
+@add_tagger("c4_v2")
+def c4_v2():
+    """The same on the lower-cased text, with "javascript" anywhere in it."""
+    return _c4(True, NAUGHTY)
+
+
 @add_tagger("gopher_v1")
 def gopher_v1():
     """Shares of repeated n-grams and lines, lengths and symbols."""
@@ -100,7 +199,7 @@ def uniseg_length():
 
 def _uniseg(keep_blank: bool, with_doc: bool):
     def predict(text, _):
-        parts = [(a, b, sum(not w.isspace() for w in words_uax29(body.strip()))) for a, b, body in split_paragraphs(text, keep_blank)]
+        parts = [(a, b, len(word_segments(body))) for a, b, body in split_paragraphs(text, keep_blank)]
         out = {"paragraph": parts, "negative_paragraph": [(a, b, -n) for a, b, n in parts]}
         if with_doc:
             total = sum(n for *_, n in parts)

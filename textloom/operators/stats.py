@@ -122,7 +122,10 @@ def ngram_counts(docs: DataFrame, n: int, text_col: str = "text", least: int = 1
     """(ngram, n) of every word n-gram that occurs ``least`` times."""
     words = split_words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.select(words.alias("w")).where(F.size("w") >= n)
-    grams = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("ngram"))
+    grams = F.slice("w", F.lit(1), F.size("w") - n + 1)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice("w", F.lit(k + 1), F.size("w") - n + 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = rows.select(F.explode(grams).alias("ngram"))
     return grams.groupBy("ngram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
