@@ -21,6 +21,12 @@ CHAR_ORDERS = (3, 5)
 LEAST_QUALITY, MOST_TOXIC = 0.3, 0.5
 
 _SCALE = 50.0
+#: Rows of a step of the fit, and steps at least, so that few rows are fitted as well as many.
+_BATCH, _STEPS = 64, 250
+#: Documents at which a feature's log ratio counts half.
+_SHRINK = 12
+#: Decay of the weights.
+_L2 = 1e-5
 _HEADS = 2
 
 
@@ -163,7 +169,7 @@ def _log_ratio(up: np.ndarray, down: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Shrunken log ratio of a feature's frequencies in the two classes; 0 for features that are rare or tell little."""
     n = y.sum()
     ratio = np.log((up + 1) / (n + 2)) - np.log((down + 1) / (len(y) - n + 2))
-    ratio *= (up + down) / (up + down + 20)
+    ratio *= (up + down) / (up + down + _SHRINK)
     return np.where((up + down >= 3) & (np.abs(ratio) > 0.1), ratio, 0).astype(np.float32)
 
 
@@ -173,10 +179,11 @@ def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray
     w, square = np.zeros(2 << BITS, np.float32), np.full(2 << BITS, 1e-3, np.float32)
     rate = np.clip(y[fit].mean(), 0.01, 0.99)
     bias = float(np.log(rate / (1 - rate)))
+    epochs = max(epochs, -(-_STEPS * _BATCH // max(len(fit), 1)))
     for epoch in range(epochs):
         rng.shuffle(fit)
-        for b in range(0, len(fit), 128):
-            docs = fit[b : b + 128]
+        for b in range(0, len(fit), _BATCH):
+            docs = fit[b : b + _BATCH]
             many = begin[docs + 1] - begin[docs]
             inside = np.repeat(begin[docs], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             i, v, ends = at[inside], value[inside], np.cumsum(many)
@@ -184,9 +191,9 @@ def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray
             bias -= 0.3 * float(err.sum())
             g = np.bincount(i, np.repeat(err, many) * v, len(w))
             where = np.flatnonzero(g)
-            d = (g[where] + 1e-5 * w[where]).astype(np.float32)
+            d = (g[where] + _L2 * w[where]).astype(np.float32)
             square[where] += d * d
-            w[where] -= 0.1 / (1 + 0.2 * epoch) * d / np.sqrt(square[where])
+            w[where] -= 0.1 / (1 + 2 * epoch / epochs) * d / np.sqrt(square[where])
     return w, bias
 
 
