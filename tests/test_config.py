@@ -19,7 +19,7 @@ def test_tag_dedupe_mix_stat(spark, corpus_dir):
     docs = str(corpus_dir / "documents")
     config.run_tag(spark, {"documents": docs, "taggers": ["char_length_v1", "c4_v1"], "experiment": "e", "destination": str(corpus_dir / "attributes/e")})
     config.run_dedupe(spark, {"documents": docs, "dedupe": {"name": "dups", "paragraphs": {}}, "destination": str(corpus_dir / "attributes/d")})
-    out = config.run_mix(spark, {"streams": [{"name": "m", "documents": docs, "attributes": [str(corpus_dir / "attributes/e"), str(corpus_dir / "attributes/d")], "filter": {"exclude": ["$.metadata[?(@.n == 2)]"]}, "span_replacement": [{"span": "$.attributes.dups", "min_score": 0.5, "replacement": ""}], "output": {"path": str(corpus_dir / "out"), "discard_fields": ["attributes"], "min_text_length": 2}}]})
+    out = config.run_mix(spark, {"streams": [{"name": "m", "documents": docs, "attributes": [str(corpus_dir / "attributes/e"), str(corpus_dir / "attributes/d")], "filter": {"exclude": ["$.metadata[?(@.n == 2)]"]}, "span_replacement": [dict(replacement="", span="$.attributes.dups", min_score=0.5)], "output": {"path": str(corpus_dir / "out"), "discard_fields": ["attributes"], "min_text_length": 2}}]})
     assert {r["id"]: r["text"] for r in out["m"].collect()} == {"0": "One line here.\nsame line of words", "1": "other\n"}
     assert spark.read.json(str(corpus_dir / "out/m")).count() == 2
     rows = config.run_stat(spark, {"attributes": str(corpus_dir / "attributes/e"), "bins": 2, "name_regex": "char_length"}).collect()

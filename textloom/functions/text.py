@@ -30,7 +30,7 @@ def split_lines(text: Column, separator: str = "\n") -> Column:
 
 def paragraphs(text: Column, keep_blank: bool = False) -> Column:
     """array<struct<start,end,body>> of the lines of a text, each with its newline; blank ones are left out unless kept."""
-    parts = F.regexp_extract_all(text, F.lit(r"([^\n]*\n|[^\n]+$)"), 1)
+    parts = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), 0)
     empty = F.array().cast("array<struct<start:bigint,end:bigint,body:string>>")
     walk = F.aggregate(
         parts,
@@ -60,4 +60,4 @@ def none() -> Column:
 
 def variable_name(name: Column) -> Column:
     """Whatever may not be in an attribute's name becomes an underscore."""
-    return F.regexp_replace(name, r"[^a-zA-Z0-9_]", "_")
+    return F.regexp_replace(name, "[^0-9A-Z_a-z]", "_")

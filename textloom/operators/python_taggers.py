@@ -14,7 +14,7 @@ import regex
 from .registry import Spans, add_tagger
 
 _EDGE = r".\s@,?!;:)("
-_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
+_OCTET = r"(?:2(?:5[0-5]|[0-4]\d)|[01]?\d{1,2})"
 _PII = {
     "EMAIL_ADDRESS": re.compile(rf"[{_EDGE}]*([^\s@]+@[^{_EDGE[1:]}]+?)[{_EDGE}]?\s"),
     "PHONE_NUMBER": re.compile(r"\s+\(?" + r"(\d{3})\)?[-. ]*" + r"(\d{3})[-. ]?" + r"(\d{4})"),
@@ -23,6 +23,9 @@ _PII = {
 _VETO = ("isbn", "doi", "#")
 
 
+_REQUIRED = frozenset("and be have of that the to with".split())
+
+
 def split_paragraphs(text: str, keep_blank: bool = False) -> list[tuple[int, int, str]]:
     """(start, end, body) of each line with its newline."""
     out, at = [], 0
@@ -92,7 +95,7 @@ def _gopher(text: str, line_break: str) -> Spans:
             "median_word_length": float(statistics.median(map(len, words))) if words else 0.0,
             "symbol_to_word_ratio": sum("#" in w or "…" in w for w in words) / n,
             "fraction_of_words_with_alpha_character": sum(any(map(str.isalpha, w)) for w in words) / n,
-            "required_word_count": sum(w in {"the", "be", "to", "of", "and", "that", "have", "with"} for w in words),
+            "required_word_count": sum(w in _REQUIRED for w in words),
             "fraction_of_lines_starting_with_bullet_point": sum(x[:1] in ("*", "-") and x != "" for x in lines) / len(lines),
             "fraction_of_lines_ending_with_ellipsis": sum(x[-1:] == "…" for x in lines) / len(lines),
             "fraction_of_duplicate_lines": sum(again.values()) / len(lines),
@@ -108,7 +111,7 @@ def char_length_paragraphs():
     return lambda text, _: {"paragraph": [(a, b, b - a) for a, b, _ in split_paragraphs(text)], "document": [(0, len(text), len(text))]}
 
 
-_TOKENS = re.compile(r"\w+|[^\w\s]+")
+_TOKENS = re.compile("[^\\w\\s]+|\\w+")
 
 
 @add_tagger("whitespace_tokenizer_v1")
@@ -130,6 +133,7 @@ def whitespace_tokens_paragraphs():
 
 #: Words and phrases that a clean text doesn't hold; set_naughty_words() sets a list of one's own before taggers are applied.
 NAUGHTY = ["viagra", "porn", "xxx", "hardcore sex"]
+_ENDS = set('!".?')
 _C4_TYPES = ("lines_with_no_ending_punctuation", "lines_with_too_few_words", "has_naughty_word", "has_javascript", "has_lorem_ipsum", "has_curly_brace")
 
 
@@ -149,7 +153,7 @@ def _c4(substring: bool, listed: list[str]):
             body = line.lower().strip()
             words = body.split()
             seen.update(words)
-            if body[-1:] not in (".", "?", "!", '"') or not body:
+            if body[-1:] not in _ENDS:
                 out["lines_with_no_ending_punctuation"].append((at, end, 1.0))
             if len(words) < 3:
                 out["lines_with_too_few_words"].append((at, end, 1.0))

@@ -32,7 +32,7 @@ def file_encoder(path: str, by_paragraph: bool = False) -> Callable[[], Callable
         one = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         if not by_paragraph:
             return one
-        return lambda t: [i for m in re.finditer(r"(?:^\n*|\n+)[^\n]*", t) if m[0] for i in one(m[0])]
+        return lambda t: [i for m in re.finditer(r"\n*[^\n]+|\n+", t) for i in one(m[0])]
 
     return make
 
