@@ -67,6 +67,25 @@ def test_recall_formula_and_shape():
         assert trees <= sf.MOST_TREES and 1 - (1 - sf.chance(depth, 40)) ** trees >= 0.95
 
 
+@pytest.mark.parametrize("docs", [10**5, 12 * 10**6])
+def test_farthest_near_duplicates_are_found_in_leaves_of_full_depth(docs):
+    trees, depth = sf.shape(docs)
+    assert 1 - (1 - sf.chance(depth, sf.MOST_BITS)) ** trees >= sf.RECALL
+    rng = np.random.default_rng(5)
+    sig = np.repeat(rng.integers(0, 1 << 63, (1500, 4)).astype(np.uint64), 2, axis=0)
+    for row in sig[1::2]:
+        for bit in rng.permutation(256)[: sf.MOST_BITS].tolist():
+            row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    found = np.zeros(1500, bool)
+    for tree in range(trees):
+        keys = sf.tree_keys(sig, tree)
+        order = np.argsort(keys)
+        leaf = np.empty(len(sig), np.int64)
+        leaf[order] = np.searchsorted(sf.leaves(keys[order], depth - sf.CLIMB, depth, node=1), np.arange(len(sig)), "right")
+        found |= leaf[::2] == leaf[1::2]
+    assert found.mean() >= 0.93
+
+
 def test_leaves_follow_the_trie():
     keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1))
     cuts = sf.leaves(keys, 2, 7, node=40)

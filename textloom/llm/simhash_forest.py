@@ -16,10 +16,13 @@ from .common import NO_ID, col, doc_key, fresh, materialize, partitions
 
 #: Bits of a signature, and differing bits up to which two documents are near duplicates.
 BITS, MOST_BITS = 256, 50
-#: Recall that the forest aims at for pairs that differ in TARGET_BITS bits; nearer pairs are found with higher chances.
-RECALL, TARGET_BITS = 0.95, 40
+#: Recall that the forest aims at for pairs that differ in TARGET_BITS bits, the most that near duplicates may; nearer pairs are found with
+#: higher chances.
+RECALL, TARGET_BITS = 0.95, MOST_BITS
 #: Trees of the forest at most, and documents of a trie's node up to which it isn't split further on the way down to the search depth.
 MOST_TREES, NODE = 64, 48
+#: Rows of a large leaf that are compared with the others at once.
+_BLOCK = 16
 #: Levels that a sparse node's search climbs above the search depth.
 CLIMB = 4
 
@@ -148,22 +151,37 @@ def node_edges(sig: np.ndarray, cuts: np.ndarray, most: int = MOST_BITS) -> tupl
         b.append(close + shift)
         shift += 1
     for k in np.flatnonzero(large):
-        left, queue = np.arange(cuts[k], cuts[k] + size[k]), []
+        left, queue = np.arange(cuts[k], cuts[k] + size[k]), np.zeros(0, np.int64)
         while len(left):
-            if queue:
-                one = queue.pop()
+            if len(queue):
+                block, queue = queue[:_BLOCK], queue[_BLOCK:]
             else:
-                one, left = left[0], left[1:]
-            close = near(sig[left], sig[one], most)
-            if close.any():
-                new = left[close]
-                a.append(np.full(len(new), one))
-                b.append(new)
-                queue += new.tolist()
-                left = left[~close]
+                block, left = left[:_BLOCK], left[_BLOCK:]
+                i, j = _close(sig, block, block, most)
+                a.append(block[i[i < j]])
+                b.append(block[j[i < j]])
+            i, j = _close(sig, block, left, most)
+            if len(i):
+                a.append(block[i])
+                b.append(left[j])
+                joined = np.zeros(len(left), bool)
+                joined[j] = True
+                queue = np.concatenate([queue, left[joined]])
+                left = left[~joined]
     return (np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)) if a else (np.zeros(0, np.int64),) * 2
 
 
+def _close(sig: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of all near pairs of rows a[i] and b[j]; half of the bits rule out most others."""
+    x, y = sig[a], sig[b]
+    some = np.zeros((len(a), len(b)), np.uint8)
+    for w in range(_WORDS // 2):
+        some += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    i, j = np.nonzero(some <= most)
+    ok = near(x[i], y[j], most)
+    return i[ok], j[ok]
+
+
 def spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id, least id of its component) of each id that isn't the least, for edges between positions of ids."""
     names, local = np.unique(ids, return_inverse=True)
@@ -282,7 +300,7 @@ def _clusters(signed: DataFrame, most: int) -> DataFrame:
     alive = signed.where("some").select("did", *_SIG)
     # rows of equal signatures meet first, so that copies cost one row each however many there are
     first = materialize(alive.groupBy(*_SIG).agg(F.min("did").alias("did"), F.max("did").alias("last")), "distinct")
-    trees, depth = shape(first.count())
+    trees, depth = shape(first.count(), differing=most)
     same = alive.join(first.where("did <> last").select(F.col("did").alias("b"), *_SIG), _SIG).select(F.col("did").alias("a"), "b")
     return components(forest_edges(first.select("did", *_SIG), trees, depth, most).union(same))
 
@@ -295,7 +313,7 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, id_col: str = "
     them join.  Rows of equal signatures are
     joined by one aggregation.  The distinct signatures go into a forest: each tree reads the bits in an order of its own and
     puts signatures with a common prefix together.  Its depth begins where density has it, at about one signature a node, and climbs to
-    shorter prefixes until the forest's recall for pairs of 40 differing bits is 0.95 by the hypergeometric
+    shorter prefixes until the forest's recall for pairs of ``most_bits`` differing bits is 0.95 by the hypergeometric
     distribution, which is a lower bound for nearer pairs.  Sparse nodes climb four levels further, dense ones split on
     the way down.  All pairs of a leaf are verified on the whole signatures; nothing caps leaves, partners or candidates.
 
