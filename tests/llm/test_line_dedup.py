@@ -53,3 +53,10 @@ def test_very_long_text(spark):
     text = "\n".join(f"line number {i}" for i in range(50_000))
     got = run(spark, [(i, text) for i in range(3)], threshold=2)
     assert got[0] == (0, text) and got[1] == (1, "") and got[2] == (2, "")
+
+
+def test_documents_without_an_id_are_counted_by_their_texts(spark):
+    rows = [(None, f"own line number {i}\na shared line here") for i in range(4)]
+    got = run(spark, rows + rows[:1], threshold=3)
+    assert sum("shared" in t for _, t in got) in (1, 2) and len({t for _, t in got if "shared" in t}) == 1
+    assert run(spark, rows, threshold=4) == sorted(rows, key=repr)

@@ -146,3 +146,16 @@ def test_edge_rows(spark):
     assert left == sorted([(None, None), (1, ""), (2, None), (3, text), (5, rows[7][1]), (6, "\n \t"), (7, "w" * 300_000)], key=repr)
     assert sorted(((r["doc_id"], r["keep"]) for r in out), key=repr) == sorted([(None, False), (None, True), (1, True), (2, True), (3, True), (3, False), (4, False), (5, True), (5, False), (6, True), (7, True)], key=repr)
     assert sf.near_duplicates(df.limit(0)).collect() == [] and sf.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    # two documents with ids, each near another text without one: no group may join them
+    rows = [(None, t) for t in texts] + [(None, texts[0]), (1, texts[3] + " more"), (2, texts[4] + " more"), (5, texts[5] + " x y z"), (5, "other words that are like nothing else here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in sf.drop_near_duplicates(df).collect()), key=repr)
+    assert left == sorted([(None, t) for i, t in enumerate(texts) if i not in (3, 4, 5)] + rows[41:], key=repr)
+    out = sf.near_duplicates(df).collect()
+    assert len(out) == len(rows) and sum(r["keep"] for r in out) == len(left)
+    assert sorted(r["group_id"] for r in out if r["group_id"] is not None) == [1, 1, 2, 2, 5, 5, 5]

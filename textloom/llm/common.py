@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id wherever ids are compared or ordered: rows without an id count as one document that sorts last.
+#: Stands for a null id wherever ids are compared or ordered: rows without an id sort last.  It doesn't say which document a row is.
 NO_ID = (1 << 63) - 1
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, doc_key, fresh
+from .common import NO_ID, col, doc_key, fresh
 
 THRESHOLD = 5
 MIN_WORDS = 3
@@ -38,13 +38,16 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN
     shuffle; only hashes, ids and positions go through these shuffles, and the text through one, to meet its mask.
 
     Edge cases: a null text stays null and holds no line; an empty text holds one empty line.  Rows with the same id count as one
-    document, as do all rows without an id (which sort last).  A line repeated within a document counts once and goes or
+    document, as do rows without an id that have the same text (they sort last, by the text's hash).  A line repeated within a document counts once and goes or
     stays as a whole.  Repeated rows stay.  Of ids that tie there are none: the lowest id is unique.  Other columns pass
     through, whatever their names.
     """
     lines = _lines(docs, id_col, text_col, min_words)
-    heavy = lines.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.count_distinct("did").alias("n"), F.min("did").alias("first")).where(F.col("n") > threshold).select("h1", "h2", "first")
-    flagged = lines.join(heavy, ["h1", "h2"], "left").select("did", "th", "pos", F.coalesce(F.col("first") != F.col("did"), F.lit(False)).alias("gone"))
+    # rows without an id are told apart by their texts
+    own = F.when(F.col("did") == NO_ID, F.col("th")).otherwise(0)
+    heavy = lines.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.count_distinct("did", own).alias("n"), F.min("did").alias("first"), F.min(own).alias("own")).where(F.col("n") > threshold).select("h1", "h2", "first", "own")
+    stays = (F.col("first") == F.col("did")) & ((F.col("did") != NO_ID) | (F.col("own") == own))
+    flagged = lines.join(heavy, ["h1", "h2"], "left").select("did", "th", "pos", F.coalesce(~stays, F.lit(False)).alias("gone"))
     masks = flagged.groupBy("did", "th").agg(F.max("gone").alias("some"), F.sort_array(F.collect_set(F.struct("pos", "gone"))).alias("mask")).where("some")
     did, th, text, mask = fresh(docs, "did", "th", "text0", "mask")
     masks = masks.select(F.col("did").alias(did), F.col("th").alias(th), F.transform("mask", lambda m: m["gone"]).alias(mask))

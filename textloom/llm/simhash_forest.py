@@ -282,7 +282,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(did, th, some, s0..s3, n_words) of each row, written in the shared folder."""
+    """(node, did, th, some, s0..s3, n_words) of each row, written in the shared folder; node stands for id and text together."""
     kind = pa.struct([("some", pa.bool_()), *((s, pa.int64()) for s in _SIG)])
 
     def sign(texts: pa.Array) -> pa.Array:
@@ -291,18 +291,23 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     sign.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     sign = F.arrow_udf(sign, "some boolean, " + ", ".join(f"{s} long" for s in _SIG)).asNondeterministic()  # so that it runs once a row
-    rows = docs.select(doc_key(docs, id_col).alias("did"), F.xxhash64(col(docs, text_col)).alias("th"), sign(col(docs, text_col)).alias("x"))
-    return materialize(rows.select("did", "th", "x.*"), "signatures")
+    did, text = doc_key(docs, id_col), col(docs, text_col)
+    rows = docs.select(F.xxhash64(did, text).alias("node"), did.alias("did"), F.xxhash64(text).alias("th"), sign(text).alias("x"))
+    return materialize(rows.select("node", "did", "th", "x.*"), "signatures")
 
 
 def _clusters(signed: DataFrame, most: int) -> DataFrame:
-    """(did, root) of the ids that aren't their group's least."""
-    alive = signed.where("some").select("did", *_SIG)
+    """(node, root, first) of the nodes in groups of several: the least id of the group, and whether the node is the one that stays."""
+    alive = signed.where("some").select(F.col("node").alias("did"), *_SIG)
     # rows of equal signatures meet first, so that copies cost one row each however many there are
     first = materialize(alive.groupBy(*_SIG).agg(F.min("did").alias("did"), F.max("did").alias("last")), "distinct")
     trees, depth = shape(first.count(), differing=most)
     same = alive.join(first.where("did <> last").select(F.col("did").alias("b"), *_SIG), _SIG).select(F.col("did").alias("a"), "b")
-    return components(forest_edges(first.select("did", *_SIG), trees, depth, most).union(same))
+    moved = components(forest_edges(first.select("did", *_SIG), trees, depth, most).union(same))
+    members = moved.select(F.col("did").alias("node"), F.col("root").alias("part")).union(moved.select("root", "root").distinct())
+    named = signed.where("some").select("node", "did", "th").distinct().join(members, "node")
+    least = named.groupBy("part").agg(F.min(F.struct("did", "th", "node")).alias("m"))
+    return materialize(named.join(least, "part").select("node", F.col("m.did").alias("root"), (F.col("node") == F.col("m.node")).alias("first")), "groups")
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,15 +322,16 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, id_col: str = "
     distribution, which is a lower bound for nearer pairs.  Sparse nodes climb four levels further, dense ones split on
     the way down.  All pairs of a leaf are verified on the whole signatures; nothing caps leaves, partners or candidates.
 
-    Edge cases: a text that is null or has no word has no signature, is in no group and stays.  Rows without an id count as
-    one document that sorts last and whose id is null again in the result.  Rows that repeat an id share its group; if it stays,
-    the one of the least text hash does, and of rows alike one does.  Extra columns aren't read.
+    Edge cases: a text that is null or has no word has no signature, is in no group and stays.  Rows are told apart by id and
+    text: those without an id, or that repeat one, are documents of their own by their texts, and of rows alike in both one stays.
+    No id sorts last and is null again in the result.  Of a group's rows with the least id the one of the least text hash stays.
+    Extra columns aren't read.
     """
     signed = _signed(docs, id_col, text_col)
     roots = _clusters(signed, most_bits)
-    rows = signed.join(roots, "did", "left").select("did", "th", "some", F.coalesce("root", "did").alias("root"))
-    one = F.row_number().over(Window.partitionBy("did").orderBy(F.col("some").desc(), "th"))
-    keep = ~F.col("some") | ((F.col("did") == F.col("root")) & (F.col("n") == 1))
+    rows = signed.join(roots, "node", "left").select("node", "did", "some", F.coalesce("root", "did").alias("root"), F.coalesce("first", F.lit(True)).alias("first"))
+    one = F.row_number().over(Window.partitionBy("node").orderBy("did"))
+    keep = ~F.col("some") | (F.col("first") & (F.col("n") == 1))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return rows.withColumn("n", one).select(real("did").alias("doc_id"), real("root").alias("group_id"), keep.alias("keep"))
 
@@ -337,11 +343,10 @@ def drop_near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, id_col: st
     """
     signed = _signed(docs, id_col, text_col)
     roots = _clusters(signed, most_bits)
-    wordy = signed.where("some").select("did", "th").groupBy("did", "th").agg(F.count("*").alias("copies")).join(roots, "did", "left")
-    n = F.row_number().over(Window.partitionBy("did").orderBy("th"))
-    marked = wordy.withColumn("n", n).where("root IS NOT NULL OR n > 1 OR copies > 1")
+    wordy = signed.where("some").groupBy("node", "did", "th").agg(F.count("*").alias("copies")).join(roots, "node", "left")
+    marked = wordy.where("root IS NOT NULL OR copies > 1")
     did, th, gone, number = fresh(docs, "did", "th", "gone", "number")
-    marked = marked.select(F.col("did").alias(did), F.col("th").alias(th), (F.col("root").isNotNull() | (F.col("n") > 1)).alias(gone))
+    marked = marked.select(F.col("did").alias(did), F.col("th").alias(th), (~F.coalesce("first", F.lit(True))).alias(gone))
     keyed = docs.withColumns({did: doc_key(docs, id_col), th: F.xxhash64(col(docs, text_col))})
     joined = keyed.join(materialize(marked, "marked"), [did, th], "left")
     # rows alike that aren't gone: the first of them
