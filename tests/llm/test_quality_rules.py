@@ -80,3 +80,12 @@ def test_tables(spark, medium):
     assert len(rows) == spark.read.parquet(f"{medium}/documents.parquet").count()
     good = [rows[r["doc_id"]]["keep"] for r in labels if r["quality"] == 1 and r["toxic"] == 0]
     assert np.mean(good) > 0.97
+
+
+def test_toxic_words_in_other_case_or_with_punctuation_count():
+    texts, y = _texts(600)
+    model = q.train(texts, y)
+    test, t = _texts(400, seed=1)
+    for form in ("VILE", "vile!!", "Vile###", "(vile)"):
+        p = model.probabilities(pa.array([x.replace("vile", form) for x in test.to_pylist()], pa.large_string()))
+        assert ((p[:, 1] > 0.5) == (t[:, 1] > 0)).mean() > 0.95, form

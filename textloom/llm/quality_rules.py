@@ -28,27 +28,36 @@ _SHRINK = 12
 #: Decay of the weights.
 _L2 = 1e-5
 _HEADS = 2
+#: Tables of weights, and those that each head reads: the case of letters tells of quality but hides toxic words.
+_TABLES, _READS = 4, ((0, 1), (2, 3))
+#: Whatever is neither an ASCII letter or digit nor beyond ASCII ends a word of the lower-cased text.
+_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def _features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each group of features (words and their pairs, then each order of byte n-grams): buckets, and the range of each row."""
-    data, offs = tb.buffers(texts, lower=False)
-    start, end, row = tb.words(data, offs)
-    h = tb.span_hash(tb.prefix(data), start, end)
-    lo, hi = np.searchsorted(row, np.arange(len(texts))), np.searchsorted(row, np.arange(len(texts)), "right")
-    shift = tb.U64(64 - BITS)
-    yield (h >> shift).astype(np.int64), lo, hi
-    pairs = tb.mix(h[:-1] * tb.U64(31) + h[1:]) if len(h) else h
-    yield (pairs >> shift).astype(np.int64), lo, np.maximum(lo, hi - 1)
-    for n in CHAR_ORDERS:
-        bucket = tb.ngrams(data, n, BITS, n)
-        first = np.minimum(offs[:-1], len(bucket))
-        yield bucket, first, np.clip(offs[1:] - n, first, len(bucket))
+    """For each group of features (words, their pairs and each order of byte n-grams; then the same of the lower-cased text with blanks
+    for punctuation): buckets, and the range of each row."""
+    for lower, breaks in ((False, tb.SPACE), (True, _BREAK)):
+        data, offs = tb.buffers(texts, lower=lower)
+        if lower:
+            data = np.where(breaks[data], np.uint8(32), data)
+        start, end, row = tb.words(data, offs, breaks)
+        h = tb.span_hash(tb.prefix(data), start, end)
+        lo, hi = np.searchsorted(row, np.arange(len(texts))), np.searchsorted(row, np.arange(len(texts)), "right")
+        shift = tb.U64(64 - BITS)
+        yield (h >> shift).astype(np.int64), lo, hi
+        pairs = tb.mix(h[:-1] * tb.U64(31) + h[1:]) if len(h) else h
+        yield (pairs >> shift).astype(np.int64), lo, np.maximum(lo, hi - 1)
+        for n in CHAR_ORDERS:
+            bucket = tb.ngrams(data, n, BITS, n)
+            first = np.minimum(offs[:-1], len(bucket))
+            yield bucket, first, np.clip(offs[1:] - n, first, len(bucket))
 
 
 def _table(group: int) -> int:
-    """The table of weights of a group: words and pairs share one, byte n-grams another."""
-    return 0 if group < 2 else 1
+    """The table of weights of a group: words and pairs share one, byte n-grams another, and so for the lower-cased text."""
+    lower, group = divmod(group, 2 + len(CHAR_ORDERS))
+    return 2 * lower + (group >= 2)
 
 
 def _norm(many: np.ndarray, head: int) -> np.ndarray:
@@ -67,7 +76,7 @@ class Model:
         z = np.zeros((len(texts), _HEADS))
         for first, part in tb.chunks(texts, 1 << 19):
             for g, (bucket, lo, hi) in enumerate(_features(part)):
-                for head in range(_HEADS if g < 2 else 1):
+                for head in (h for h in range(_HEADS) if _table(g) in _READS[h]):
                     z[first : first + len(part), head] += tb.row_sums(self.weights[head, _table(g)][bucket], lo, hi) / _norm(hi - lo, head)
         return z + self.bias
 
@@ -84,7 +93,7 @@ class Model:
     @classmethod
     def from_bytes(cls, data: bytes) -> Model:
         x = np.load(io.BytesIO(data))
-        w = np.zeros((_HEADS, 2, 1 << BITS), np.float32)
+        w = np.zeros((_HEADS, _TABLES, 1 << BITS), np.float32)
         w.reshape(-1)[x["at"]] = x["w"]
         return cls(w, x["bias"], x["slope"], x["offset"])
 
@@ -115,21 +124,23 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
 
     Each fourth row is held out to calibrate.  A feature's value is its share of the document (for toxicity its count by the root
     of the document's length) times the log ratio of its document frequencies in the two classes, which keeps
-    features that tell nothing near zero.  Quality sees words, word pairs and byte n-grams, toxicity words and word pairs.
+    features that tell nothing near zero.  Both see words, word pairs and byte n-grams, for toxicity those of the lower-cased text without punctuation.
     """
     n = len(texts)
-    weights = np.zeros((_HEADS, 2, 1 << BITS), np.float32)
+    weights = np.zeros((_HEADS, _TABLES, 1 << BITS), np.float32)
     held = np.arange(n) % 4 == 3
     if n < 8:
         p = np.clip((labels.sum(0) + [1, 0]) / (n + 1), 0.01, 0.99)
         return Model(weights, np.log(p / (1 - p)), np.ones(_HEADS), np.zeros(_HEADS))
-    up, down = np.zeros((_HEADS, 2 << BITS), np.int32), np.zeros((_HEADS, 2 << BITS), np.int32)
+    up, down = np.zeros((_HEADS, _TABLES << BITS), np.int32), np.zeros((_HEADS, _TABLES << BITS), np.int32)
     for r, at, _, _ in _entries(texts):  # document frequencies first: most features then need no room
         for head in range(_HEADS):
             for df, which in ((up, labels[:, head] > 0), (down, labels[:, head] <= 0)):
-                df[head] += np.bincount(at[which[r] & ~held[r]], minlength=2 << BITS).astype(np.int32)
+                df[head] += np.bincount(at[which[r] & ~held[r]], minlength=_TABLES << BITS).astype(np.int32)
     ratio = np.stack([_log_ratio(up[h], down[h], labels[~held, h]) for h in range(_HEADS)])
-    ratio[1, 1 << BITS :] = 0
+    for head in range(_HEADS):
+        for table in set(range(_TABLES)) - set(_READS[head]):
+            ratio[head, table << BITS : (table + 1) << BITS] = 0
     kept: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(_HEADS)]
     for r, at, count, many in _entries(texts):
         for head in range(_HEADS):
@@ -140,7 +151,7 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
         rows, at, value = (np.concatenate(x) for x in zip(*kept[head]))
         kept[head].clear()
         w, bias[head] = _fit_head(rows, at, value, labels[:, head], np.flatnonzero(~held), epochs, np.random.default_rng(seed))
-        weights[head] = (w * ratio[head]).reshape(2, -1)
+        weights[head] = (w * ratio[head]).reshape(_TABLES, -1)
     model = Model(weights, bias, np.ones(_HEADS), np.zeros(_HEADS))
     z = model.margins(texts.filter(pa.array(held)))
     model.slope, model.offset = (np.array(x) for x in zip(*(_platt(z[:, k], labels[held, k]) for k in range(_HEADS))))
@@ -155,14 +166,14 @@ def _entries(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
             many = hi - lo
             row = np.repeat(np.arange(len(part)), many)
             inside = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            key, count = np.unique((row << (BITS + 1)) | (_table(g) << BITS) | bucket[inside], return_counts=True)
+            key, count = np.unique((row << (BITS + 2)) | (_table(g) << BITS) | bucket[inside], return_counts=True)
             keys.append(key)
             counts.append(count)
-            sizes.append(many[key >> (BITS + 1)])
+            sizes.append(many[key >> (BITS + 2)])
         key, count, size = map(np.concatenate, (keys, counts, sizes))
-        order = np.argsort(key >> (BITS + 1), kind="stable")
+        order = np.argsort(key >> (BITS + 2), kind="stable")
         key = key[order]
-        yield (key >> (BITS + 1)) + first, key & ((2 << BITS) - 1), count[order], size[order]
+        yield (key >> (BITS + 2)) + first, key & ((4 << BITS) - 1), count[order], size[order]
 
 
 def _log_ratio(up: np.ndarray, down: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -176,7 +187,7 @@ def _log_ratio(up: np.ndarray, down: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, fit: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Weights and intercept."""
     begin = np.searchsorted(rows, np.arange(len(y) + 1))
-    w, square = np.zeros(2 << BITS, np.float32), np.full(2 << BITS, 1e-3, np.float32)
+    w, square = np.zeros(_TABLES << BITS, np.float32), np.full(_TABLES << BITS, 1e-3, np.float32)
     rate = np.clip(y[fit].mean(), 0.01, 0.99)
     bias = float(np.log(rate / (1 - rate)))
     epochs = max(epochs, -(-_STEPS * _BATCH // max(len(fit), 1)))
