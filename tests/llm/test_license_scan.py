@@ -56,3 +56,17 @@ def test_no_templates_and_no_rows(spark):
     df = spark.createDataFrame([(1, "All rights reserved.")], "doc_id long, text string")
     assert license_scan(df, templates=[]).collect() == []
     assert license_scan(df.limit(0)).collect() == []
+
+
+def test_versions_and_variants_that_are_no_templates(spark):
+    gnu = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    want = [("GPL-2.0", "This module is licensed under the GNU General Public License, version 2.")]
+    for name, kind, version in (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
+        want += [(name, gnu.format(who, kind, version)) for who in ("This script", "Foo", "The library")]
+        want.append((name, f"// This tool is licensed under the GNU {kind} Public License, version {version}"))
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        want += [(f"CC-{kind}-{v}", f"It is licensed under CC {kind} {v}.") for v in ("2.0", "3.0", "4.0")]
+    assert not {t for _, t in want} & {t for _, t in TEMPLATES}
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan(df).collect()}
+    assert [got.get(i) for i in range(len(want))] == [name for name, _ in want]

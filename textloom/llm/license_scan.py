@@ -45,6 +45,33 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 ]
 
+_GNU = [("GPL-1.0", "GNU General Public License", "1"), ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3")]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _variants() -> list[tuple[str, str]]:
+    """Notices of every version and variant of the GNU and Creative Commons licences, each for works, programs and libraries."""
+    out = []
+    for name, title, version in _GNU:
+        for what in ("work", "program", "library", "software", "file", "project"):
+            out.append((name, f"This {what} is licensed under the {title}, version {version}."))
+            free = f"This {what} is free software{{}} you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation{{}} version {version} of the License"
+            out.append((name, free.format(":", ", either") + ", or (at your option) any later version."))
+            out.append((name, free.format(";", ",") + "."))
+        short = name.split("-")[0]
+        out += [(name, f"Licensed under the {title}, version {version}."), (name, f"Licensed under the {title} v{version}."), (name, f"Licensed under {short} version {version}.")]
+    for kind, title in _CC.items():
+        for version, place in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            name, title_ = f"CC-{kind}-{version}", title.replace("NoDerivatives", "NoDerivs") if version < "4" else title
+            out.append((name, f"Licensed under CC {kind} {version}."))
+            out.append((name, f"This work is licensed under a Creative Commons {title_} {version} {place} License."))
+            out.append((name, f"This work is licensed under the Creative Commons {title_} {version} {place} License."))
+            out.append((name, f"Licensed under the Creative Commons {title_} {version} {place} License."))
+    return out
+
+
+TEMPLATES += [x for x in _variants() if x not in TEMPLATES]
+
 #: Whatever is neither an ASCII letter or digit nor beyond ASCII ends a word.
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MAP_BITS = 20
