@@ -89,3 +89,20 @@ def test_toxic_words_in_other_case_or_with_punctuation_count():
     for form in ("VILE", "vile!!", "Vile###", "(vile)"):
         p = model.probabilities(pa.array([x.replace("vile", form) for x in test.to_pylist()], pa.large_string()))
         assert ((p[:, 1] > 0.5) == (t[:, 1] > 0)).mean() > 0.95, form
+
+
+def test_held_out_rejects_of_the_tables(medium):
+    import pyarrow.parquet as pq
+
+    folder = medium.replace("sf0.01", "sf0.1")
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pandas().set_index("doc_id").text
+    rows = pq.read_table(f"{folder}/labels.parquet").to_pandas().sort_values("doc_id")
+    rows = rows[rows.doc_id.isin(texts.index)]
+    rows["text"] = texts.loc[rows.doc_id].values
+    rows = rows[rows.text.fillna("").str.strip() != ""].sample(frac=1, random_state=0)
+    fit, held = rows[: len(rows) * 2 // 3], rows[len(rows) * 2 // 3 :]
+    model = q.train(pa.array(fit.text.tolist(), pa.large_string()), fit[["quality", "toxic"]].to_numpy(float))
+    p = model.probabilities(pa.array(held.text.tolist(), pa.large_string()))
+    keep = (p[:, 0] >= q.LEAST_QUALITY) & (p[:, 1] < q.MOST_TOXIC)
+    bad, toxic = (held.quality == 0).to_numpy(), (held.toxic == 1).to_numpy()
+    assert keep[bad].mean() < 0.2 and keep[toxic].mean() < 0.28 and keep[~bad & ~toxic].mean() > 0.98
