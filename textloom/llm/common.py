@@ -26,23 +26,48 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage ends there and a lost executor costs nothing."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: its lineage ends there and a lost executor costs nothing.
+
+    ``by`` names a column that the table is partitioned by.  The application's folder goes when its JVM ends; release() deletes it earlier.
+    """
     spark = df.sparkSession
     path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write
+    if by:
+        writer = writer.partitionBy(by)
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+_DOOMED: set[str] = set()
 
 
 def _own(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
+    path = f"{shared_dir(spark).rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
+    if path not in _DOOMED:
+        _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
+        _DOOMED.add(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that this application wrote by materialize(); call it when their readers are done."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that this application wrote by materialize(), but for ``keep``, one of them; call it when the others' readers are done."""
+    files, path = _file_system(spark, _own(spark))
+    kept = getattr(keep, "written_to", "").rsplit("/", 1)[-1]
+    if not kept:
+        files.delete(path, True)
+    elif files.exists(path):
+        for status in files.listStatus(path):
+            if status.getPath().getName() != kept:
+                files.delete(status.getPath(), True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

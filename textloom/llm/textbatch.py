@@ -13,8 +13,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Bases of the polynomial hashes; the second is for hashes of 128 bits.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes that end a word: ASCII white space and control characters.
 SPACE = np.zeros(256, bool)
@@ -32,14 +33,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) <= n:
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, n at least."""
+    have = _POWERS.get(which)
+    if have is None or len(have[0]) <= n:
         size = max(1 << 16, 1 << int(n).bit_length())
-        up, down = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
+        up, down = np.full(size, _BASES[which], U64), np.full(size, pow(_BASES[which], -1, 1 << 64), U64)
         up[0] = down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS["up"], _POWERS["down"]
+        have = _POWERS[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return have
 
 
 def buffers(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -71,17 +73,46 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) ->
     return start, end, row
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def unbroken(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each pair of neighbouring characters of scripts without blanks between words (Han, Kana, Thai, Lao, Khmer, Myanmar), and
+    of each such character without such a neighbour."""
+    lead = np.flatnonzero((data >= 0xE0) & (data <= 0xE9)) if len(data) else np.zeros(0, np.int64)
+    lead = lead[lead + 2 < len(data)]
+    a, b = data[lead], data[lead + 1]
+    # U+0E00-0EFF, U+1000-109F and U+1780-17FF, U+3040-9FFF
+    own = ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB)) | ((a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F))) | ((a == 0xE3) & (b > 0x80)) | ((a > 0xE3) & (a <= 0xE9))
+    start = lead[own]
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 3
+    after = np.concatenate([start[1:] == start[:-1] + 3, [False]])
+    before = np.concatenate([[False], after[:-1]])
+    pairs = after | ~before
+    start, end = start[pairs], start[pairs] + np.where(after[pairs], 6, 3)
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of what stands for the words of a text in any script: its words(), and its unbroken() pairs in their stead; not in order."""
+    start, end, row = unbroken(data, offsets)
+    if not len(start):
+        return words(data, offsets)
+    gaps = data.copy()
+    for k in range(3):
+        gaps[start + k] = gaps[end - 3 + k] = 32
+    return tuple(map(np.concatenate, zip(words(gaps, offsets), (start, end, row))))
+
+
+def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
     """Running polynomial hash H with H[e] - H[s] = base**s * (hash of data[s:e])."""
-    up, _ = _powers(len(data) + 1)
+    up, _ = _powers(len(data) + 1, which)
     out = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=out[1:])
     return out
 
 
-def span_hash(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(run: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of the bytes from start to end."""
-    _, down = _powers(len(run))
+    _, down = _powers(len(run), which)
     return mix((run[end] - run[start]) * down[start])
 
 
@@ -113,6 +144,26 @@ def ngrams(data: np.ndarray, n: int, bits: int, salt: int = 0) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each character begins and the last one ends, number of characters before each offset)."""
+    if not len(data) or data.max() < 128:
+        return np.arange(len(data) + 1), offsets
+    start = np.concatenate([np.flatnonzero((data & 0xC0) != 0x80), [len(data)]])
+    return start, np.searchsorted(start, offsets)
+
+
+def char_ngrams(run: np.ndarray, start: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A bucket below 2**bits for the n characters from each on; run is prefix(), start is characters()."""
+    if len(start) <= n:
+        return np.zeros(0, np.int64)
+    _, down = _powers(len(run))
+    key = (run[start[n:]] - run[start[:-n]]) * down[start[:-n]]
+    key ^= key >> U64(32)
+    key *= U64(0xD6E8FEB86659FD93)
+    key >>= U64(64 - bits)
+    return key.astype(np.int64)
+
+
 def row_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Sums of values[first:last] for each pair; values may have columns."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
