@@ -19,7 +19,7 @@ def distance(pattern, text):
 
 def edited(rng, text, n):
     for _ in range(n):
-        k = rng.randrange(len(text))
+        k = rng.randrange(len(text) or 1)
         text = rng.choice([text[:k] + rng.choice("abc ") + text[k:], text[:k] + text[k + 1 :], text[:k] + rng.choice("abc") + text[k + 1 :]])
     return text
 
@@ -41,16 +41,35 @@ def test_against_all_distances(seed):
         plain = d.normal(text)
         for i, item in items:
             item = d.normal(item)
-            if len(item) < d.LEAST_CHARS:
-                continue
             best = distance(item, plain)
             assert (i in got) == (best <= int(0.1 * len(item))), (best, len(item))
             if i in got:
                 found, start, stop = got[i]
-                assert found == best or found <= int(0.1 * len(item))
+                assert found == best
                 assert distance(item, plain[start:stop]) == found
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_best_place_of_repetitive_and_short_items(seed):
+    rng = random.Random(100 + seed)
+    for _ in range(150):
+        items = [(i, "".join(rng.choice("ab ") for _ in range(rng.choice([1, 2, 5, 9, 10, 20, 40])))) for i in range(4)]
+        items = [(i, t) for i, t in items if d.normal(t)]
+        text = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 150)))
+        for _ in range(rng.randint(0, 3)):
+            text += edited(rng, rng.choice(items)[1], rng.randint(0, 3)) if items else ""
+        searcher, plain = d.Searcher(items), d.normal(text)
+        got = {searcher.items[i][0]: x for i, x in searcher.search(text).items()}
+        first = searcher.search(text, True)
+        for i, item in items:
+            item = d.normal(item)
+            best = distance(item, plain) if plain else len(item)
+            assert (i in got) == (best <= int(0.1 * len(item)) and bool(plain)), (item, plain)
+            if i in got:
+                assert got[i][0] == best == distance(item, plain[got[i][1] : got[i][2]])
+        assert bool(first) == bool(got)
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(9)
     for _ in range(500):
@@ -71,7 +90,7 @@ def test_leaves_cover_the_item():
 
 def test_edge_rows(spark):
     item = "the quick brown fox jumps over the lazy dog again and again"
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short"), (None, item.upper()), (1, item)], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "a rather short one"), (None, item.upper()), (1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(7, "Before\n" + item.replace(" ", "\n\t") + " after", 1), (None, item, 1), (8, None, 1), (9, "", 1), (7, "clean", 1), (10, "x " * 100_000 + item, 1)], "doc_id long, text string, distance int")
     rows = sorted(((r["doc_id"], r["item_id"], r["start"], r["stop"], r["distance"]) for r in d.matches(docs, items).collect()), key=repr)
     places = {7: 7, None: 0, 10: 200_000}

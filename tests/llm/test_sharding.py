@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from textloom.llm.sharding import place, sharding
+from textloom.llm.sharding import LEAST_SHARDS, place, query, sharding
 
 
 def brute(sizes, shards, slack):
@@ -32,7 +32,7 @@ def test_against_plain_loops():
 
 def test_all_measures_are_even(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
-    rows = sharding(docs, shard_bytes=1 << 18).toPandas()
+    rows = sharding(docs, shard_bytes=1 << 18, least_shards=1).toPandas()
     assert len(rows) == docs.count()
     sums = rows.assign(rows=1).groupby("shard")[["n_bytes", "n_tokens", "rows"]].sum()
     assert len(sums) == -(-rows.n_bytes.sum() // (1 << 18))
@@ -42,10 +42,37 @@ def test_all_measures_are_even(spark, medium):
 
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(None, None, None, None, 1), (1, "", "s", "en", 1), (2, "a b", "s", "en", 1), (2, "a b", "s", "en", 1), (3, "c", None, "en", 1)], "doc_id long, text string, source string, lang string, shard int")
-    rows = sharding(docs, shard_bytes=2).collect()
+    rows = sharding(docs, shard_bytes=2, least_shards=1).collect()
     assert len(rows) == 5
     two = [r for r in rows if r["doc_id"] == 2]
     assert two[0] == two[1]
     null = next(r for r in rows if r["doc_id"] is None)
     assert (null["source"], null["lang"], null["n_bytes"], null["n_tokens"]) == ("", "", 0, 0)
     assert sharding(docs.limit(0)).collect() == []
+
+
+def test_query_packs_many_shards(spark, medium):
+    rows = query(spark, medium).toPandas()
+    sums = rows.assign(rows=1).groupby("shard")[["n_bytes", "n_tokens", "rows"]].sum()
+    assert len(sums) == LEAST_SHARDS and len(rows) == spark.read.parquet(f"{medium}/documents.parquet").count()
+    # the few documents that are longer than a shard's even share fill one each
+    most = max(sums.n_bytes.mean() * 1.3, rows.n_bytes.max() * 1.3)
+    assert sums.n_bytes.max() <= most and sums.n_bytes.min() > 0
+
+
+def test_many_cells(spark):
+    docs = spark.createDataFrame([(i, f"text of some words number {i} " * (1 + i % 7), f"s{i % 11}", "en") for i in range(3000)], "doc_id long, text string, source string, lang string")
+    one = sharding(docs, least_shards=32).toPandas()
+    many = sharding(docs, least_shards=32, cell_shards=8).toPandas()
+    for rows in (one, many):
+        sums = rows.assign(rows=1).groupby("shard")[["n_bytes", "n_tokens", "rows"]].sum()
+        assert len(rows) == 3000 and 32 <= len(sums) <= 36
+        assert sums.n_bytes.max() < 1.5 * sums.n_bytes.mean()
+    assert sorted(one.doc_id) == sorted(many.doc_id)
+
+
+def test_very_long_text_and_equal_groups(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000, "a", "en"), *((i, "same size", f"s{i}", "en") for i in range(2, 40))], "doc_id long, text string, source string, lang string")
+    rows = sharding(docs, least_shards=4).toPandas()
+    assert len(rows) == 39 and rows.n_bytes.max() == 1_000_000
+    assert (rows[rows.doc_id > 1].shard != rows[rows.doc_id == 1].shard.iloc[0]).all()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +13,9 @@ from .common import col
 
 #: Edits that a copy of an item may hold, as a share of the item's characters.
 ERROR_RATE = 0.1
-#: Characters of an item's normal form from which it is searched: shorter items occur by chance.
-LEAST_CHARS = 32
+#: Characters of an item's normal form from which it is searched.  Items of a word or two occur by chance in clean documents; whoever has such
+#: items and doesn't want them found may raise it.
+LEAST_CHARS = 1
 #: Characters of items that one automaton holds; more are searched in several passes.
 SLICE_CHARS = 4_000_000
 
@@ -109,53 +111,72 @@ class Searcher:
             self.automaton.make_automaton()
 
     def search(self, raw: str, first_only: bool = False) -> dict[int, tuple[int, int, int]]:
-        """Item's number: (distance, start, stop) of its best place in the text's normal form; the first of those that tie."""
+        """Item's number: (distance, start, stop) of its best place in the text's normal form; the first of those that tie.
+
+        Every hit of a piece whose climb succeeds opens a region that holds each place of the item within its budget around the hit; later
+        hits in it widen it without a climb of their own.  The best place is then looked for in each region once.
+        """
         found: dict[int, tuple[int, int, int]] = {}
         if not self.items or not raw:
             return found
         text = normal(raw)
-        done: dict[int, list[int]] = {}
+        regions: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
             at = last + 1 - size
             for i, leaf in where:
-                origin = at - leaf.start
+                origin, budget = at - leaf.start, self.items[i][2]
+                lo, hi = origin - budget, origin + len(self.items[i][1]) + budget
+                open_ = regions.get(i)
+                if open_ and lo <= open_[-1][1]:
+                    # hits come by their ends, so only the last region can still grow
+                    open_[-1][0], open_[-1][1] = min(open_[-1][0], lo), max(open_[-1][1], hi)
+                    continue
                 up = leaf.parent
                 if up is not None:
-                    lo = origin + up.start - up.budget
-                    near = text[lo if lo > 0 else 0 : origin + up.stop + up.budget]
+                    first = origin + up.start - up.budget
+                    near = text[first if first > 0 else 0 : origin + up.stop + up.budget]
                     if not any(p in near for p in leaf.probes):
                         continue
-                if i in done and any(abs(origin - x) <= self.items[i][2] for x in done[i]):
-                    continue
-                if place := self._verify(text, i, leaf, origin):
-                    done.setdefault(i, []).append(place[1])
-                    if i not in found or place < found[i]:
-                        found[i] = place
+                if self._climbs(text, i, leaf, origin):
                     if first_only:
-                        return found
+                        return {i: (0, 0, 0)}
+                    regions.setdefault(i, []).append([lo, hi])
+        for i, its in regions.items():
+            found[i] = min(self._best(text, i, max(0, lo), hi) for lo, hi in its)
         return found
 
-    def _verify(self, text: str, i: int, leaf: Node, origin: int) -> tuple[int, int, int] | None:
-        """Climbs from a leaf to the whole item, each node within its budget around the place that the leaf gives."""
-        _, item, budget = self.items[i]
+    def _climbs(self, text: str, i: int, leaf: Node, origin: int) -> bool:
+        """Whether each node from a leaf up to the whole item is within its budget around the place that the leaf gives."""
+        item = self.items[i][1]
         node = leaf.parent
-        while node is not None and node.parent is not None:
+        while node is not None:
             if node.eq is None:
                 node.eq = masks(item[node.start : node.stop])
             region = text[max(0, origin + node.start - node.budget) : max(0, origin + node.stop + node.budget)]
             if myers(node.eq, node.stop - node.start, region, node.budget) is None:
-                return None
+                return False
             node = node.parent
-        lo = max(0, origin - budget)
-        region = text[lo : max(0, origin + len(item) + budget)]
-        best = myers(masks(item), len(item), region, budget)
-        if best is None:
-            return None
-        distance, end = best
+        return True
+
+    def _best(self, text: str, i: int, lo: int, hi: int) -> tuple[int, int, int]:
+        _, item, budget = self.items[i]
+        region = text[lo:hi]
+        distance, end = myers(masks(item), len(item), region, budget)
         back = myers(masks(item[::-1]), len(item), region[:end][::-1], distance)
         return distance, lo + end - (back[1] if back else end), lo + end
 
 
+_SEARCHERS: dict[str, Searcher] = {}
+
+
+def _searcher(key: str, shared, error_rate: float, least_chars: int) -> Searcher:
+    """The searcher of a broadcast, built once in each worker process."""
+    if key not in _SEARCHERS:
+        _SEARCHERS.clear()
+        _SEARCHERS[key] = Searcher(shared.value, error_rate, least_chars)
+    return _SEARCHERS[key]
+
+
 def slices(items: DataFrame, id_col: str = "item_id", text_col: str = "text", slice_chars: int = SLICE_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items, in lists of about ``slice_chars`` characters at most: a single list unless the benchmark is huge."""
     rows = items.select(col(items, id_col).cast("long").alias("id"), col(items, text_col).alias("text")).where(F.col("text").isNotNull())
@@ -174,17 +195,17 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, l
     automaton finds those of all items in one pass over the whole text.  A hit is verified by Myers' bit-parallel distance, from
     the smallest part with a budget of its own up to the whole item, so chance hits end early.  No document is shuffled.
 
-    Edge cases: null and empty documents and items match nothing, nor do items under ``least_chars`` characters.  Rows with
-    null or repeated ids, and repeated items, are matched like any other.  Of places that tie the first is given.  An empty benchmark gives
-    no rows.
+    Edge cases: null and empty documents and items match nothing.  Items under ten characters occur exactly or not at all, wherever they stand;
+    ``least_chars`` leaves out shorter ones.  Rows with null or repeated ids, and repeated items, are matched like any other.  Of places that
+    tie the first is given.  Texts are searched whole, however long.  An empty benchmark gives no rows.  Other columns aren't read.
     """
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).where(F.col("text") != "")
     out = None
     for part in slices(items, text_col=text_col, slice_chars=slice_chars):
         shared = docs.sparkSession.sparkContext.broadcast(part)  # slice_chars bounds it
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(shared.value, error_rate, least_chars)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            searcher = _searcher(key, shared, error_rate, least_chars)
             for batch in batches:
                 at, found = [], []
                 for r, text in enumerate(batch.column(1).to_pylist()):
@@ -209,13 +230,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
 
 def _holds(spark: SparkSession, part: list[tuple[int, str]], error_rate: float, least_chars: int):
     """A column function: whether a text holds one of the items."""
-    shared = spark.sparkContext.broadcast(part)  # slice_chars bounds it
-    cache: dict = {}
+    shared, key = spark.sparkContext.broadcast(part), uuid.uuid4().hex  # slice_chars bounds it
 
     def holds(texts: pa.Array) -> pa.Array:
-        if "searcher" not in cache:
-            cache["searcher"] = Searcher(shared.value, error_rate, least_chars)
-        return pa.array([bool(cache["searcher"].search(t or "", True)) for t in texts.to_pylist()], pa.bool_())
+        searcher = _searcher(key, shared, error_rate, least_chars)
+        return pa.array([bool(searcher.search(t or "", True)) for t in texts.to_pylist()], pa.bool_())
 
     holds.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(holds, "boolean").asNondeterministic()  # so that it runs once a row
