@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from textloom.llm import language_fusion as lf
 
@@ -84,7 +85,7 @@ def test_other_evidence_decides_where_text_is_silent(spark):
 def test_page_columns(spark):
     pages = spark.createDataFrame([(1, "https://user@WWW.Site.co.FR:80/x?y", "<!DOCTYPE html><HTML class=a lang='fr-FR'><script>var x='<p>no';</script><p>oui<!-- non --><b>!</b>", "h"), (2, None, None, "h"), (3, "not a url", "<p lang=de>", "h")], "page_id long, url string, html string, host string")
     got = {r["page_id"]: r for r in lf.page_rows(pages).collect()}
-    assert (got[1]["host"], got[1]["domain"], got[1]["suffix"], got[1]["declared"]) == ("www.site.co.fr", "co.fr", "fr", "fr")
+    assert (got[1]["host"], got[1]["domain"], got[1]["suffix"], got[1]["declared"]) == ("www.site.co.fr", "site.co.fr", "fr", "fr")
     assert got[1]["text"].split() == ["oui", "!"]
     assert all(got[2][c] is None for c in ("host", "domain", "suffix", "declared", "text")) and got[3]["declared"] is None
 
@@ -102,3 +103,36 @@ def test_tables(spark, medium):
     both = rows[rows.kind == "document"].merge(docs, on="doc_id", suffixes=("", "_true"))
     assert len(both) == len(docs) and (both.lang == both.lang_true).mean() > 0.98
     assert len(rows) == len(docs) + spark.read.parquet(f"{medium}/pages.parquet").count()
+
+
+def test_domains(spark):
+    hosts = {"a.b.example.co.uk": "example.co.uk", "example.com.au": "example.com.au", "www.example.com": "example.com", "co.uk": "co.uk", "host": "host", "x.y.z": "y.z", "echo.uk": "echo.uk", "a.echo.uk": "echo.uk"}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: r["d"] for r in df.select("host", lf.domain_of(df.host).alias("d")).collect()} == hosts
+
+
+def test_fit_without_ids_or_with_one_reads_no_more_than_train_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 7]), text(rng, lang), lang) for lang in WORDS for _ in range(60)]
+    docs = spark.createDataFrame(rows + rows[:1] * 500, "doc_id long, text string, lang string")
+    few = lf.fit(docs, train_rows=50)
+    assert few.langs == sorted(WORDS)
+    h = docs.dropDuplicates().select(F.xxhash64("doc_id", "text", F.lit(13)).alias("h"), "text", "lang").toPandas().sort_values("h")
+    bound = sorted(docs.select(F.xxhash64("doc_id", "text", F.lit(13)).alias("h")).toPandas().h)[49]
+    chosen = h[h.h <= bound]
+    assert len(chosen) <= 50
+    assert np.allclose(few.table, lf.train(pa.array(chosen.text.tolist(), pa.large_string()), chosen.lang.tolist()).table, atol=1e-5)
+
+
+def test_long_repeated_and_tied_rows_and_extra_columns(spark):
+    model, rng = train(), random.Random(6)
+    long = text(rng, "fr", 200_000)
+    docs = spark.createDataFrame([(1, long, "s", 5, "x"), (2, "", "s", 5, "x"), (2, "", "s", 5, "x"), (3, None, None, 5, "x")], "doc_id long, text string, source string, p int, kind string")
+    got = [(r["doc_id"], r["text_lang"], r["lang"], r["probability"]) for r in lf.language_fusion(lf.document_rows(docs), model).collect()]
+    assert len(got) == 4 and {x[1:3] for x in got if x[0] == 1} == {("fr", "fr")}
+    two = [x for x in got if x[0] == 2]
+    assert two[0] == two[1] and two[0][1] == lf.UNKNOWN
+    # nothing tells languages apart here: the first by the alphabet
+    blank = docs.where("doc_id = 2")
+    tied = lf.language_fusion(lf.document_rows(blank), model).collect()
+    assert {r["lang"] for r in tied} == {"de"} and all(abs(r["probability"] - 1 / 3) < 1e-9 for r in tied)

@@ -19,8 +19,8 @@ BITS = 15
 ORDERS = (2, 4)
 #: Overlapping n-grams repeat each other's evidence; each counts for so much of an independent one.
 TEMPER = 0.25
-#: Evidence of the text is held within this many nats, as no text excludes a language altogether.
-MOST_NATS = 60.0
+#: Second-level names under which countries register domains, as in example.co.uk.
+_SECOND = "ac|co|com|edu|gob|gouv|gov|go|mil|ne|net|nom|or|org|sch"
 #: Pseudo-counts by which a host leans on its domain, a domain on its suffix, a suffix on the corpus.
 LEAN = 8.0
 #: Pseudo-counts of the table of declared languages and of that of suffixes.
@@ -47,7 +47,7 @@ class TextModel:
                     out[first : first + len(part), i] += tb.row_sums(self.table[k, i][bucket], lo, hi)
         out *= TEMPER
         out -= out.max(1, keepdims=True) if out.shape[1] else 0
-        return np.maximum(out, -MOST_NATS)
+        return out
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -82,14 +82,14 @@ def train(texts: pa.Array, labels: list[str]) -> TextModel:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextModel:
     """The text model, fitted in one task on ``train_rows`` labelled rows of docs at most.
 
-    Rows with a null or empty text or label are left out; ids may repeat or be null.  Without any labelled row no
-    language is known and every text is ``und``.
+    Rows with a null or empty text or label are left out; ids may repeat or be null, as rows are chosen by a hash of id and text, and rows
+    alike in id, text and label count once.  Without any labelled row no language is known and every text is ``und``.
     """
-    rows = docs.select(F.xxhash64(col(docs, id_col).cast("long"), F.lit(13)).alias("h"), col(docs, text_col).alias("text"), F.lower(F.trim(col(docs, lang_col))).alias("lang"))
+    rows = docs.select(F.xxhash64(col(docs, id_col).cast("long"), col(docs, text_col), F.lit(13)).alias("h"), col(docs, text_col).alias("text"), F.lower(F.trim(col(docs, lang_col))).alias("lang"))
     rows = rows.where((F.col("text") != "") & (F.col("lang") != "") & (F.col("lang") != UNKNOWN))
     # the bound on hashes comes from hashes alone, so that texts of rows beyond it are never sorted or moved
     bound = rows.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    sample = rows.where(F.col("h") <= (bound if bound is not None else 0)).select("h", "text", "lang")
+    sample = rows.where(F.col("h") <= (bound if bound is not None else 0)).groupBy("h", "lang").agg(F.min("text").alias("text")).select("h", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("text", pa.string()), ("lang", pa.string())])
@@ -121,13 +121,19 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>", " ")
 
 
+def domain_of(host: Column) -> Column:
+    """The part of a host that is registered: its last two labels, or three under a country's second-level names."""
+    three = host.rlike(rf"(?:^|\.)(?:{_SECOND})\.[a-z]{{2}}$")
+    return F.when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """(kind, doc_id, page_id, text, declared, suffix, domain, host) of pages(page_id, url, html)."""
     url, html = col(pages, "url"), col(pages, "html")
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     declared = F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
     rows = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), col(pages, "page_id").cast("long").alias("page_id"), visible_text(html).alias("text"), F.when(declared != "", declared).alias("declared"), F.when(host != "", host).alias("host"))
-    return rows.select("kind", "doc_id", "page_id", "text", "declared", F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"), "host")
+    return rows.select("kind", "doc_id", "page_id", "text", "declared", F.substring_index("host", ".", -1).alias("suffix"), domain_of(F.col("host")).alias("domain"), "host")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
@@ -161,7 +167,8 @@ def language_fusion(rows: DataFrame, model: TextModel) -> DataFrame:
     Edge cases: a null or empty text has no evidence and leaves the answer to the other terms; a row without any evidence
     gets the corpus's prior.  Null declared, suffix, domain or host: their terms are left out.  A declared language that
     the model doesn't know weighs as its table says.  Of languages that tie the first in alphabetical order wins.
-    Repeated rows are counted and answered as often as they occur.  Without any language known lang is ``und`` and probability 0.
+    Repeated rows are counted and answered as often as they occur.  Texts are read whole, however long.  Other columns of the tables aren't
+    read.  No rows give no rows.  Without any language known lang is ``und`` and probability 0.
     """
     n = len(model.langs)
     if not n:
@@ -173,7 +180,7 @@ def language_fusion(rows: DataFrame, model: TextModel) -> DataFrame:
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     # rates: expected share of languages, each level leaning on the one above
     corpus = _sums(base, n).select(F.transform("c", lambda x: (x + 1.0) / (total(F.col("c")) + n)).alias("prior"))
-    up = _sums(base, n, "kind").crossJoin(corpus)
+    up = _sums(base, n, "kind").withColumn("all", F.lit(0)).join(corpus.withColumn("all", F.lit(0)), "all")  # a row for each kind, and one
     lean = lambda c, prior: F.zip_with(c, prior, lambda a, b: (a + LEAN * b) / (total(c) + LEAN))
     up = up.select("kind", lean(F.col("c"), F.col("prior")).alias("prior"))
     suffix = _sums(base, n, "kind", "suffix").join(up, "kind").select("kind", "suffix", lean(F.col("c"), F.col("prior")).alias("prior"))

@@ -35,27 +35,30 @@ _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def _features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each group of features (words, their pairs and each order of byte n-grams; then the same of the lower-cased text with blanks
+    """For each group of features (words, their pairs and each order of character n-grams; then the same of the lower-cased text with blanks
     for punctuation): buckets, and the range of each row."""
     for lower, breaks in ((False, tb.SPACE), (True, _BREAK)):
         data, offs = tb.buffers(texts, lower=lower)
         if lower:
             data = np.where(breaks[data], np.uint8(32), data)
         start, end, row = tb.words(data, offs, breaks)
-        h = tb.span_hash(tb.prefix(data), start, end)
+        run = tb.prefix(data)
+        h = tb.span_hash(run, start, end)
         lo, hi = np.searchsorted(row, np.arange(len(texts))), np.searchsorted(row, np.arange(len(texts)), "right")
         shift = tb.U64(64 - BITS)
         yield (h >> shift).astype(np.int64), lo, hi
         pairs = tb.mix(h[:-1] * tb.U64(31) + h[1:]) if len(h) else h
+        lo = np.minimum(lo, len(pairs))  # a last text without a word begins beyond the last pair
         yield (pairs >> shift).astype(np.int64), lo, np.maximum(lo, hi - 1)
+        chars, offs = tb.characters(data, offs)
         for n in CHAR_ORDERS:
-            bucket = tb.ngrams(data, n, BITS, n)
+            bucket = tb.char_ngrams(run, chars, n, BITS)
             first = np.minimum(offs[:-1], len(bucket))
             yield bucket, first, np.clip(offs[1:] - n, first, len(bucket))
 
 
 def _table(group: int) -> int:
-    """The table of weights of a group: words and pairs share one, byte n-grams another, and so for the lower-cased text."""
+    """The table of weights of a group: words and pairs share one, character n-grams another, and so for the lower-cased text."""
     lower, group = divmod(group, 2 + len(CHAR_ORDERS))
     return 2 * lower + (group >= 2)
 
@@ -124,14 +127,14 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
 
     Each fourth row is held out to calibrate.  A feature's value is its share of the document (for toxicity its count by the root
     of the document's length) times the log ratio of its document frequencies in the two classes, which keeps
-    features that tell nothing near zero.  Both see words, word pairs and byte n-grams, for toxicity those of the lower-cased text without punctuation.
+    features that tell nothing near zero.  Both see words, word pairs and character n-grams, for toxicity those of the lower-cased text without punctuation.
     """
     n = len(texts)
     weights = np.zeros((_HEADS, _TABLES, 1 << BITS), np.float32)
-    held = np.arange(n) % 4 == 3
-    if n < 8:
-        p = np.clip((labels.sum(0) + [1, 0]) / (n + 1), 0.01, 0.99)
+    if not n:  # nothing is known: quality 1, toxicity 0
+        p = np.array([0.99, 0.01])
         return Model(weights, np.log(p / (1 - p)), np.ones(_HEADS), np.zeros(_HEADS))
+    held = np.arange(n) % 4 == 3
     up, down = np.zeros((_HEADS, _TABLES << BITS), np.int32), np.zeros((_HEADS, _TABLES << BITS), np.int32)
     for r, at, _, _ in _entries(texts):  # document frequencies first: most features then need no room
         for head in range(_HEADS):
@@ -148,13 +151,14 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
             kept[head].append((r[use].astype(np.int32), at[use].astype(np.int32), (count[use] / _norm(many[use], head) * ratio[head][at[use]]).astype(np.float32)))
     bias = np.zeros(_HEADS)
     for head in range(_HEADS):
-        rows, at, value = (np.concatenate(x) for x in zip(*kept[head]))
+        rows, at, value = (np.concatenate(x) for x in zip(*kept[head])) if kept[head] else (np.zeros(0, np.int64),) * 3
         kept[head].clear()
         w, bias[head] = _fit_head(rows, at, value, labels[:, head], np.flatnonzero(~held), epochs, np.random.default_rng(seed))
         weights[head] = (w * ratio[head]).reshape(_TABLES, -1)
     model = Model(weights, bias, np.ones(_HEADS), np.zeros(_HEADS))
-    z = model.margins(texts.filter(pa.array(held)))
-    model.slope, model.offset = (np.array(x) for x in zip(*(_platt(z[:, k], labels[held, k]) for k in range(_HEADS))))
+    judge = held if held.any() else ~held  # three rows at most: there is none to hold out
+    z = model.margins(texts.filter(pa.array(judge)))
+    model.slope, model.offset = (np.array(x) for x in zip(*(_platt(z[:, k], labels[judge, k]) for k in range(_HEADS))))
     return model
 
 
@@ -190,7 +194,7 @@ def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray
     w, square = np.zeros(_TABLES << BITS, np.float32), np.full(_TABLES << BITS, 1e-3, np.float32)
     rate = np.clip(y[fit].mean(), 0.01, 0.99)
     bias = float(np.log(rate / (1 - rate)))
-    epochs = max(epochs, -(-_STEPS * _BATCH // max(len(fit), 1)))
+    epochs = max(epochs, -(-_STEPS // -(-max(len(fit), 1) // _BATCH)))
     for epoch in range(epochs):
         rng.shuffle(fit)
         for b in range(0, len(fit), _BATCH):
@@ -211,14 +215,15 @@ def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the labelled documents, fitted in one task on ``train_rows`` of them at most.
 
-    Labels with a null in id, quality or toxicity are left out, as are texts without a word.  Repeated labels count as often as they
-    occur.  Without labels, or with few, all texts get the prior probability: quality 1, toxicity 0.
+    Labels with a null in id, quality or toxicity are left out, as are texts without a word.  Labels repeated alike count once; of several
+    texts of an id the one of the least hash counts, so that no id brings more than a row for each of its labels.  Without labels all
+    texts get the probabilities 0.99 and 0.01; with labels of one class alone they get that class's share, whatever their words.
     """
     label = labels.select(col(labels, id_col).cast("long").alias("doc_id"), F.col("quality").cast("int"), F.col("toxic").cast("int")).dropna()
-    chosen = label.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality", "toxic").limit(train_rows)
+    chosen = label.distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality", "toxic").limit(train_rows)
     texts = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).where(has_words(F.col("text")))
     # train_rows bounds the broadcast side
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = tb.gather(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("quality", pa.int32()), ("toxic", pa.int32())]))
@@ -257,8 +262,8 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """(doc_id, p_quality, p_toxic, keep) of every row of docs.
 
     Edge cases: a text that is null or blank isn't scored: its probabilities are 0 and 0 and it isn't kept.  Rows with null or repeated ids are
-    scored like any other, one row out for each in.  Texts are scored whole, however long.  Columns of docs other than id and
-    text aren't read.
+    scored like any other, one row out for each in, and texts that are alike alike.  A probability at a threshold keeps for quality and
+    rejects for toxicity.  Texts are scored whole, however long.  Columns of docs other than id and text aren't read.  No rows give no rows.
     """
     rows = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"))
     scored = rows.select("doc_id", has_words(F.col("text")).alias("some"), scorer(docs.sparkSession, model)("text").alias("p"))

@@ -157,7 +157,10 @@ def char_ngrams(run: np.ndarray, start: np.ndarray, n: int, bits: int) -> np.nda
     if len(start) <= n:
         return np.zeros(0, np.int64)
     _, down = _powers(len(run))
-    key = (run[start[n:]] - run[start[:-n]]) * down[start[:-n]]
+    if len(start) == len(run):  # a byte a character
+        key = (run[n:] - run[:-n]) * down[: len(run) - n]
+    else:
+        key = (run[start[n:]] - run[start[:-n]]) * down[start[:-n]]
     key ^= key >> U64(32)
     key *= U64(0xD6E8FEB86659FD93)
     key >>= U64(64 - bits)
