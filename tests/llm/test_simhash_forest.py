@@ -46,7 +46,7 @@ def test_signature_is_the_majority_of_distinct_words():
         data, offs = tb.buffers(pa.array([t], pa.large_string()))
         start, end, _ = tb.words(data, offs)
         words = set((tb.span_hash(tb.prefix(data), start, end) >> np.uint64(24)).tolist())
-        assert s[4] == len(words) == len(set(t.lower().split()))
+        assert len(words) == len(set(t.lower().split())) and len(s) == 4
         for w in range(4):
             hashes = tb.mix(np.array(sorted(words), np.uint64) + np.uint64((w + 1) * 0x5851F42D4C957F2D & ((1 << 63) - 1)))
             for bit in range(64):
@@ -62,12 +62,14 @@ def test_recall_formula_and_shape():
         differing = rng.permutation(256)[:40]
         hits += not np.isin(rng.permutation(256)[:10], differing).any()
     assert abs(hits / 4000 - sf.chance(10, 40)) < 0.02
-    for docs in (1, 100, 10**5, 10**8):
+    for docs in (1, 100, 10**5, 10**6, 10**7, 10**8, 10**10):
         trees, depth = sf.shape(docs)
-        assert trees <= sf.MOST_TREES and 1 - (1 - sf.chance(depth, 40)) ** trees >= 0.95
+        assert 1 - (1 - sf.chance(depth, sf.MOST_BITS)) ** trees >= sf.RECALL
+        # leaves of full depth don't grow with the number of signatures
+        assert docs / 2**depth <= sf.LEAF and (docs < 200 or docs / 2**depth > sf.LEAF / 2)
 
 
-@pytest.mark.parametrize("docs", [10**5, 12 * 10**6])
+@pytest.mark.parametrize("docs", [10**5, 12 * 10**6, 10**8])
 def test_farthest_near_duplicates_are_found_in_leaves_of_full_depth(docs):
     trees, depth = sf.shape(docs)
     assert 1 - (1 - sf.chance(depth, sf.MOST_BITS)) ** trees >= sf.RECALL
@@ -103,7 +105,6 @@ def test_dense_leaves_miss_no_component():
     for row in sig:
         for _ in range(4):
             row[rng.integers(4)] ^= np.uint64(1) << np.uint64(rng.integers(63))
-    sig = np.column_stack([sig, np.full(len(sig), 50, np.uint64)])
     a, b = sf.node_edges(sig, np.array([0]))
     moved, least = sf.spanning(np.arange(len(sig)), a, b)
     groups, _ = brute_groups(sig, np.ones(len(sig), bool), list(range(len(sig))))
@@ -159,3 +160,92 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_documents_of_their_own(sp
     out = sf.near_duplicates(df).collect()
     assert len(out) == len(rows) and sum(r["keep"] for r in out) == len(left)
     assert sorted(r["group_id"] for r in out if r["group_id"] is not None) == [1, 1, 2, 2, 5, 5, 5]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_components_that_a_single_pair_joins_are_found(seed):
+    rng = np.random.default_rng(20 + seed)
+    base = rng.integers(0, 1 << 63, (4, 4)).astype(np.uint64)
+    links = []
+    for x in base:  # chains of pairs at the limit, from a member of each group on
+        links.append(x.copy())
+        for _ in range(9):
+            y = links[-1].copy()
+            for bit in rng.permutation(256)[:45].tolist():
+                y[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+            links.append(y)
+    sig = np.concatenate([flipped(rng, np.repeat(base, 150, 0), 30), np.array(links), rng.integers(0, 1 << 63, (200, 4)).astype(np.uint64)])
+    sig = sig[rng.permutation(len(sig))]
+    moved, least = sf.spanning(np.arange(len(sig)), *sf.node_edges(sig, np.array([0])))
+    groups, _ = brute_groups(sig, np.ones(len(sig), bool), list(range(len(sig))))
+    assert {i: groups[i] for i in groups if groups[i] != i} == dict(zip(moved.tolist(), least.tolist()))
+
+
+def flipped(rng, sig, most):
+    for row in sig:
+        for bit in rng.permutation(256)[: rng.integers(0, most + 1)].tolist():
+            row[bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    return sig
+
+
+def components_of(spark, sig, **how):
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(sig.view(np.int64).tolist())], "did long, s0 long, s1 long, s2 long, s3 long")
+    edges = sf.forest_edges(df, len(sig), **how)
+    assert edges.count() < 3 * len(sig) * how["trees"]
+    found = {r["did"]: r["root"] for r in sf.components(edges).collect()}
+    return [found.get(i, i) for i in range(len(sig))]
+
+
+def test_large_leaves_are_searched_in_blocks_as_completely(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, (3, 4)).astype(np.uint64) << np.uint64(1)
+    # two groups of near copies, a chain that hangs on one copy, and texts that are like nothing else
+    copies = flipped(rng, np.concatenate([np.repeat(base[:1], 900, 0), np.repeat(base[1:2], 400, 0)]), 12)
+    chain = [copies[5].copy()]
+    for _ in range(12):
+        chain.append(flipped(rng, chain[-1][None].copy(), 0)[0])
+        for bit in rng.permutation(256)[:45].tolist():
+            chain[-1][bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    others = rng.integers(0, 1 << 63, (300, 4)).astype(np.uint64)
+    sig = np.unique(np.concatenate([copies, np.array(chain[1:]), others]), axis=0)
+    sig = sig[rng.permutation(len(sig))]
+    want, _ = brute_groups(sig, np.ones(len(sig), bool), list(range(len(sig))))
+    want = [want[i] for i in range(len(sig))]
+    # one tree of no real depth: its two leaves together must give what the blocks give
+    whole = components_of(spark, sig, trees=2, depth=1)
+    large, _ = sf.large_leaves(spark.createDataFrame([(i, *row) for i, row in enumerate(sig.view(np.int64).tolist())], "did long, s0 long, s1 long, s2 long, s3 long"), len(sig), 2, 1, 60)
+    assert sum(map(len, large.values())) >= 3
+    assert components_of(spark, sig, trees=2, depth=1, block=60) == whole
+    trees, depth = sf.shape(100)
+    assert np.mean([a == b for a, b in zip(components_of(spark, sig, trees=trees, depth=depth, block=60), want)]) > 0.95
+
+
+def test_nodes_that_span_batches(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (40, 4)).astype(np.uint64)
+    sig = np.unique(flipped(rng, np.repeat(base, 700, 0), 10), axis=0)
+    assert len(sig) > 20_000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        got = components_of(spark, sig, trees=3, depth=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(set(got)) == 40
+
+
+def test_scripts_without_blanks(spark):
+    rng = random.Random(9)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(800))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(800))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(900))
+    rows = [(1, text), (2, text[:300] + "一" + text[301:600] + "丁" + text[601:]), (3, other), (4, thai), (5, thai[:400] + "กขค" + thai[400:])]
+    got = {r["doc_id"]: r["group_id"] for r in sf.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_many_rows_alike_in_id_and_text(spark):
+    rows = [(None, "the very same text without an id", k) for k in range(500)] + [(1, "another text of some words", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, every int")
+    left = sf.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, rows[0][1]), (1, rows[-1][1])]
+    assert sum(r["keep"] for r in sf.near_duplicates(df).collect()) == 2
