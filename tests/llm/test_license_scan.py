@@ -12,6 +12,9 @@ def dice(a, b):
     return 2 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
 
 
+BAGS = [words(t) for _, t in TEMPLATES]
+
+
 def brute(text):
     lines = [words(x) for x in text.split("\n")]
     units, blocks, now = [], [], []
@@ -27,9 +30,23 @@ def brute(text):
         units.append(("document", blocks[0][0], blocks[-1][-1], sum(lines, [])))
     out = []
     for unit, a, b, w in units:
-        best = max(((dice(w, words(t)), -i) for i, (_, t) in enumerate(TEMPLATES)), default=(0, 0))
+        best = max(((dice(w, t), -i) for i, t in enumerate(BAGS)), default=(0, 0))
         if best[0] >= 0.8:
             out.append((unit, a, b, TEMPLATES[-best[1]][0], -best[1], round(best[0], 9)))
+    taken, flat, windows = {x[1:3] for x in out}, [(w, k) for k, its in enumerate(lines) for w in its], {}
+    own = [w for w, _ in flat]
+    for i, t in enumerate(BAGS):
+        for at in {0, (len(t) - 1) // 2, len(t) - 2}:
+            for p in range(len(own) - 1):
+                if own[p : p + 2] == t[at : at + 2]:
+                    a, b = max(0, p - at), min(len(own), p - at + len(t))
+                    place, found = (flat[a][1], flat[b - 1][1]), (-dice(own[a:b], t), i)
+                    if found[0] <= -0.8:
+                        windows[place] = min(windows.get(place, found), found)
+    meet = lambda x, y: x[0] <= y[1] and y[0] <= x[1]
+    size = lambda v: len(BAGS[v[1]]) - 1
+    windows = {x: v for x, v in windows.items() if not any(meet(x, y) and u < v and 2 * size(u) >= size(v) for y, u in windows.items()) and x not in taken}
+    out += [("window", *place, TEMPLATES[i][0], i, round(-d, 9)) for place, (d, i) in windows.items()]
     return sorted(out)
 
 
@@ -43,6 +60,8 @@ def test_against_brute_force(spark):
         "Licensed under CC BY-SA 4.0.\n\nLicensed under CC BY-NC 4.0.\nAll rights reserved",
         "all rights", "word", "", "\n\n", "of the the of the of the " * 2000,
         "This work is licensed under the GNU General Public License version 3",
+        "int main() {}\n// " + mit + " int x = 3;\nreturn x;\n" + mit[:200] + "\nend",
+        "Licensed under CC BY 4.0. All rights reserved. Licensed under CC BY 4.0. And so on",
     ]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)] + [(None, None, 1.0), (None, texts[0], 1.0)], "doc_id long, text string, dice double")
     rows = license_scan(df).collect()
@@ -70,3 +89,22 @@ def test_versions_and_variants_that_are_no_templates(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")
     got = {r["doc_id"]: r["license"] for r in license_scan(df).collect()}
     assert [got.get(i) for i in range(len(want))] == [name for name, _ in want]
+
+
+def test_whole_licences_and_notices_within_longer_parts(spark):
+    whole = {name: text for name, text in TEMPLATES if len(text) > 600}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= set(whole)
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY.\ndef f(x):\n    return x"
+    want = [(name, f"Copyright 2020 Somebody\n{text}\nprint('code follows at once')") for name, text in whole.items()]
+    want += [("MIT", "Copyright (c) 2020 Somebody Else " + whole["MIT"].replace("\n", " ")), ("GPL-3.0", gpl), ("Apache-2.0", "# Licensed under the Apache License, Version 2.0 (the 'License'); you may not use it otherwise\n# than it says.\nimport os")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(want)], "doc_id long, text string")
+    best = {}
+    for r in license_scan(df).collect():
+        best[r["doc_id"]] = max(best.get(r["doc_id"], (0, 0, "")), (round(r["dice"], 1), r["last_line"] - r["first_line"], r["license"]))
+    assert [best.get(i, (0, 0, None))[2] for i in range(len(want))] == [name for name, _ in want]
+
+
+def test_ties_repeated_ids_and_clashing_columns(spark):
+    same = [("A", "one two three four five"), ("B", "one two three four five")]
+    df = spark.createDataFrame([(1, "one two three four five", "x"), (1, "One, two, three, four, five!", "x"), (1, "other", "x")], "doc_id long, text string, license string")
+    assert [(r["doc_id"], r["license"], r["template"], r["dice"]) for r in license_scan(df, templates=same).collect()] == [(1, "A", 0, 1.0)] * 2

@@ -57,3 +57,24 @@ def test_nulls_copies_and_empty_replicas(spark):
 def test_one_copy_lost(spark):
     a = [(1, "u", "h"), (1, "u", "h"), (2, "u", "h")]
     assert records_at_fault(audit(spark, a, a[1:])) == [(1, 2, "only in a")]
+
+
+def test_only_bad_zones_are_read_below_the_roots(spark, monkeypatch):
+    a = spark.range(0, 4096 * 40, 512).selectExpr("id AS page_id", "'u' AS url", "concat('body ', id) AS html")
+    b = a.selectExpr("page_id", "url", "IF(page_id = 4096 * 17 + 512, 'rotten', html) AS html")
+    read = []
+    real = w._under
+    monkeypatch.setattr(w, "_under", lambda nodes, bad: read.append(nodes._jdf.queryExecution().executedPlan().toString()) or real(nodes, bad))
+    rows = w.audit(w.records(a), w.records(b)).collect()
+    assert records_at_fault(rows) == [(4096 * 17 + 512, 1, "differs")] and len(rows) == 4
+    assert len(read) == 6 and all("PartitionFilters: [" in plan and "zone" in plan.split("PartitionFilters: [")[1].split("]")[0] for plan in read)
+    many = spark.range(0, 4096 * 1000, 4096).selectExpr("id AS record_id")
+    low, size = w.zones(many)
+    assert (low, size) == (0, 4)
+
+
+def test_very_long_bodies_and_clashing_columns(spark):
+    rows = [(i, "u", "x" * 2_000_000 + str(i), "d", 1, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, zone int, archive int")
+    bad = df.selectExpr("page_id", "url", "IF(page_id = 1, concat(html, 'y'), html) AS html", "digest", "zone", "archive")
+    assert records_at_fault(w.audit(w.records(df), w.records(bad)).collect()) == [(1, 1, "differs")]

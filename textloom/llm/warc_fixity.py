@@ -14,6 +14,8 @@ SLOTS = 4096
 FANOUT = 16
 #: Archive of the records without an id.
 NO_ARCHIVE = -1
+#: Folders that a replica's tables are split into by ranges of archives, at most, so that an audit reads those of bad archives alone.
+ZONES = 256
 
 _LEVELS = 3  # slots = FANOUT ** 3
 
@@ -27,44 +29,58 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return pages.select(number.alias("record_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """(archive, slot, copy, record_id, start, length, digest): records by archive in order, each with its offset there, in the shared folder.
+def archive_of(record_id: Column) -> Column:
+    # floor of a negative id is negative: shifted so that -1 stays free for records without an id
+    archive = F.floor(record_id / SLOTS).cast("long")
+    return F.coalesce(F.when(record_id < 0, archive - 1).otherwise(archive), F.lit(NO_ARCHIVE))
+
+
+def zones(*replicas: DataFrame) -> tuple[int, int]:
+    """(least archive, archives in a zone) for replicas of records: ZONES zones at most hold them all."""
+    ends = [x.agg(F.min(archive_of(F.col("record_id"))), F.max(archive_of(F.col("record_id")))).first() for x in replicas]
+    low, high = min((e[0] for e in ends if e[0] is not None), default=0), max((e[1] for e in ends if e[1] is not None), default=0)
+    return low, -(-(high - low + 1) // ZONES)
+
+
+def leaves(recs: DataFrame, zoning: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(archive, slot, copy, record_id, start, length, digest, zone): records by archive in order, each with its offset there, in the shared folder, in a folder by zone.
 
     An archive holds 4096 consecutive ids, an id's slot being its place among them, so that a record which a replica lacks moves
     no other record to another branch.  Records that repeat an id are copies, ordered by digest.
     """
     slot = F.coalesce(F.pmod("record_id", F.lit(SLOTS)), F.lit(0))
-    archive = F.coalesce(F.floor(F.col("record_id") / SLOTS).cast("long"), F.lit(NO_ARCHIVE))
-    # floor of a negative id is negative: shifted so that -1 stays free for records without an id
-    archive = F.when(F.col("record_id") < 0, archive - 1).otherwise(archive)
-    placed = recs.select(archive.alias("archive"), slot.alias("slot"), "record_id", "length", "digest")
+    placed = recs.select(archive_of(F.col("record_id")).alias("archive"), slot.alias("slot"), "record_id", "length", "digest")
     copy = F.row_number().over(Window.partitionBy("archive", "slot").orderBy("digest"))
     order = Window.partitionBy("archive").orderBy("slot", "copy")
     start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # both windows and the trees use the partitioning by archive
     placed = placed.repartition("archive").withColumn("copy", copy.cast("long"))
-    return materialize(placed.select("archive", "slot", "copy", "record_id", start.alias("start"), "length", "digest"), "leaves")
+    return materialize(placed.select("archive", "slot", "copy", "record_id", start.alias("start"), "length", "digest", _zone(zoning).alias("zone")), "leaves", by="zone")
+
+
+def _zone(zoning: tuple[int, int]) -> Column:
+    return F.floor((F.col("archive") - zoning[0]) / zoning[1]).cast("long")
 
 
 def _parent(children: DataFrame, node: Column, order: str) -> DataFrame:
     """The nodes above: each hashes its children's hashes in order, and spans their offsets."""
     kids = F.sort_array(F.collect_list(F.struct(order, "digest")))
-    return children.groupBy("archive", node.alias("node")).agg(F.sha2(F.array_join(F.transform(kids, lambda x: x["digest"]), ""), 256).alias("digest"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return children.groupBy("archive", "zone", node.alias("node")).agg(F.sha2(F.array_join(F.transform(kids, lambda x: x["digest"]), ""), 256).alias("digest"), F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
 def levels(leaf: DataFrame) -> list[DataFrame]:
-    """The trees' levels from the ranges above the records up to the roots, each (archive, node, digest, start, stop).
+    """The trees' levels from the ranges above the records up to the roots, each (archive, zone, node, digest, start, stop).
 
     All levels keep the partitioning by archive of the first, so they cost one shuffle of the leaves.  The leaves' digests
     are bound to their lengths and places by the order.
     """
-    own = leaf.select("archive", "slot", "copy", "start", (F.col("start") + F.col("length")).alias("stop"), F.concat_ws(":", "slot", "copy", "length", "digest").alias("digest"))
+    own = leaf.select("archive", "zone", "slot", "copy", "start", (F.col("start") + F.col("length")).alias("stop"), F.concat_ws(":", "slot", "copy", "length", "digest").alias("digest"))
     own = own.withColumn("at", F.col("slot") * (1 << 32) + F.col("copy")).repartition("archive")
     out = [_parent(own, F.floor(F.col("slot") / FANOUT), "at")]
     for _ in range(_LEVELS - 1):
         below = out[-1].withColumnRenamed("node", "below").withColumn("digest", F.concat_ws(":", "below", "digest"))
         out.append(_parent(below, F.floor(F.col("below") / FANOUT), "below"))
-    return [materialize(x, "level") for x in out]
+    return [materialize(x, "level", by="zone") for x in out]
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -72,20 +88,22 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
     a and b are records (record_id, length, digest), one row for each record.  Level 3 has the archives' roots, levels 2 and 1
     ranges of 256 and 16 ids, level 0 the records themselves (node is the record's slot).  Roots are compared first;
-    from then on only the children of nodes that differ are read and compared.  status: "differs", or "only in a" or
+    from then on only the zones that hold children of nodes that differ are read, and only these children compared.  status: "differs", or "only in a" or
     "only in b" for what a replica lacks.  start and stop are byte offsets in the archive of each replica.
 
     Edge cases: records without an id are in archive -1.  Records that repeat an id are told apart by their copy number, in the order
-    of their digests.  Equal replicas give no row, an empty replica one for each node of the other.
+    of their digests; those with the same digest tie, and any of them may have the lower number.  Bodies are hashed whole, however long.  Other
+    columns aren't read.  Equal replicas give no row, an empty replica one for each node of the other.
     """
-    leaf_a, leaf_b = leaves(a), leaves(b)
+    zoning = zones(a, b)
+    leaf_a, leaf_b = leaves(a, zoning), leaves(b, zoning)
     tree_a, tree_b = levels(leaf_a), levels(leaf_b)
     found, bad = [], None
     for k in range(_LEVELS, -1, -1):
         x, y = (tree_a[k - 1], tree_b[k - 1]) if k else (_records_of(leaf_a), _records_of(leaf_b))
         keys = ["archive", "node"] if k else ["archive", "node", "copy"]
         if bad is not None:
-            x, y = (_under(z, bad) for z in (x, y))
+            x, y = (_under(z.where(F.col("zone").isin(where)), bad) for z in (x, y))
         more = [] if k else ["record_id"]
         x = x.select(*keys, *(F.col(c).alias(f"{c}_a") for c in ("digest", "start", "stop", *more)))
         y = y.select(*keys, *(F.col(c).alias(f"{c}_b") for c in ("digest", "start", "stop", *more)))
@@ -97,6 +115,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         if k:
             here = materialize(here, "differing")
             bad = here.select("archive", F.col("node").alias("above"))
+            where = [r["zone"] for r in bad.select(_zone(zoning).alias("zone")).distinct().collect()]  # ZONES bounds it
         found.append(here)
     out = found[0]
     for x in found[1:]:
@@ -105,7 +124,7 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _records_of(leaf: DataFrame) -> DataFrame:
-    return leaf.select("archive", F.col("slot").alias("node"), "copy", "record_id", "start", (F.col("start") + F.col("length")).alias("stop"), F.concat_ws(":", "length", "digest").alias("digest"))
+    return leaf.select("archive", "zone", F.col("slot").alias("node"), "copy", "record_id", "start", (F.col("start") + F.col("length")).alias("stop"), F.concat_ws(":", "length", "digest").alias("digest"))
 
 
 def _under(nodes: DataFrame, bad: DataFrame) -> DataFrame:
