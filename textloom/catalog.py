@@ -37,11 +37,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table up to which it is spread over the cores before it is tagged; larger ones come in partitions enough.
+_SMALL = 1 << 30
+
+
 def _docs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """Documents; a table of fewer files than the cluster has cores is spread over them once, as taggers cost more than that."""
+    """Documents; a small table, which may be a single row group, is spread over the cores once, as taggers cost more than that."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", *more)
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "id") if len(docs.inputFiles()) < cores else docs
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return docs.repartition(spark.sparkContext.defaultParallelism, "id") if int(str(size)) < _SMALL else docs
 
 
 _WORD = r"regexp_extract_all(text, '[\pL\pN\pM\p{Pc}]+|[^\pL\pN\pM\p{Pc}\s]+')"
@@ -179,24 +183,22 @@ def remove_duplicate_paragraphs(spark, sf_dir):
 
 
 def _tagged(spark, sf_dir):
-    docs = _docs(spark, sf_dir, "lang", "source")
-    return docs, taggers.tag(docs, ["char_length_v1", "whitespace_tokenizer_v1", "c4_v1"])
+    return taggers.with_attributes(_docs(spark, sf_dir, "lang", "source"), ["char_length_v1", "whitespace_tokenizer_v1", "c4_v1"])
 
 
 @_query(rf"SELECT doc_id AS id, lang, text FROM documents WHERE length(text) < 2000 AND NOT (len({_WORD}) + 1 < 20)")
 def mix_jsonpath(spark, sf_dir):
-    docs, attributes = _tagged(spark, sf_dir)
+    docs = _tagged(spark, sf_dir)
     length, words = "exp__char_length_v1__length", "exp__whitespace_tokenizer_v1__length"
     stream = mix.Stream(include=[f"$.attributes[?(@.{length} && @.{length}[0] && @.{length}[0][2] < 2000)]"], exclude=[f"$.attributes[?(@.{words}[0][2] < 20)]"], discard_fields=["source", "attributes"])
-    return mix.mix(docs, stream, [attributes])
+    return mix.mix(docs, stream)
 
 
 @_query("SELECT doc_id AS id, lang, text FROM documents WHERE lang = 'en' AND length(text) + strlen(text) > 3000 AND source <> 'src0'")
 def mix_jq(spark, sf_dir):
-    docs = _docs(spark, sf_dir, "lang", "source")
-    attributes = taggers.tag(docs, ["char_length_v1", "bytes_length_v1"])
+    docs = taggers.with_attributes(_docs(spark, sf_dir, "lang", "source"), ["char_length_v1", "bytes_length_v1"])
     stream = mix.Stream(syntax="jq", include=['.lang == "en" and (.attributes.exp__char_length_v1__length[0][2] + .attributes.exp__bytes_length_v1__bytes[0][2] > 3000)'], exclude=['.source == "src0"'], discard_fields=["source", "attributes"])
-    return mix.mix(docs, stream, [attributes])
+    return mix.mix(docs, stream)
 
 
 @_query(rf"""WITH {_LINES}
@@ -205,9 +207,18 @@ SELECT id, string_agg(CASE WHEN NOT regexp_matches(regexp_replace(line, '^\s+|\s
 FROM lines GROUP BY id HAVING strlen(regexp_replace(string_agg(CASE WHEN NOT regexp_matches(regexp_replace(line, '^\s+|\s+$', '', 'g'), '[.?!"]$') AND (length(line) > 0 OR start < length(text))
   THEN '[CUT]' ELSE line || CASE WHEN start + length(line) < length(text) THEN chr(10) ELSE '' END END, '' ORDER BY n), '^\s+|\s+$', '', 'g')) >= 200""")
 def mix_replace_spans(spark, sf_dir):
-    docs, attributes = _tagged(spark, sf_dir)
+    docs = _tagged(spark, sf_dir)
     stream = mix.Stream(span_replacement=[mix.SpanReplacement("$.attributes.exp__c4_v1__lines_with_no_ending_punctuation", "[CUT]", min_score=0.5)], min_text_length=200, discard_fields=["attributes", "lang", "source"])
-    return mix.mix(docs, stream, [attributes])
+    return mix.mix(docs, stream)
+
+
+@_query("SELECT doc_id AS id, text FROM documents WHERE length(text) >= 500 AND strlen(text) < 5000")
+def mix_joined(spark, sf_dir):
+    """Two sets of attributes, as they would be read from storage, joined to the documents."""
+    docs = _docs(spark, sf_dir)
+    sets = [taggers.tag(docs, ["char_length_v1"]), taggers.tag(docs, ["bytes_length_v1"])]
+    stream = mix.Stream(include=["$.attributes[?(@.exp__char_length_v1__length[0][2] >= 500)]"], exclude=["$.attributes[?(@.exp__bytes_length_v1__bytes[0][2] >= 5000)]"], discard_fields=["attributes"])
+    return mix.mix(docs, stream, sets)
 
 
 @_query(r"""SELECT name, 'score' AS metric, count(*) AS n, sum(v)::DOUBLE AS total, min(v)::DOUBLE AS lowest, max(v)::DOUBLE AS highest

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import SPANS, split_words, strip
 
 
-
-
-
 def _long_enough(text: Column, min_length: int, min_words: int, skip_empty: bool, octets: bool) -> Column:
     ok = text.isNotNull()
     if skip_empty:
@@ -26,47 +23,79 @@ def _long_enough(text: Column, min_length: int, min_words: int, skip_empty: bool
     return ok
 
 
+def _hash(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _repeats(rows: DataFrame, order: list[str], seeds: DataFrame | None, read_only: bool) -> DataFrame:
+    """rows with repeat: whether an earlier row, or a seed (k), has its key k; rows without a key never do.
+
+    The first row of each key comes from an aggregation, which combines before its shuffle; keys that occur once go no further.  Rows then
+    meet the keys that occur several times in a plain join, which the engine may broadcast or split where a key is hot.  Rows without a key have
+    one of their own there, so that they don't come together.
+    """
+    own = F.coalesce("k", F.encode(F.col("_row").cast("string"), "utf-8"))
+    rows = rows.withColumn("repeat", F.lit(False)).withColumn("_k", own)
+    if not read_only:
+        place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c))])
+        first = rows.where("k IS NOT NULL").groupBy(F.col("k").alias("_k")).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        rows = rows.drop("repeat").join(first, "_k", "left").withColumn("repeat", F.coalesce(place != F.col("_first"), F.lit(False))).drop("_first")
+    if seeds is not None:
+        known = seeds.select(F.col("k").alias("_k")).where("_k IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+        rows = rows.join(known, "_k", "left").withColumn("repeat", F.col("repeat") | F.coalesce("_known", F.lit(False))).drop("_known")
+    return rows.drop("_k")
+
+
 def dedupe_documents(docs: DataFrame, key: str = "text", id_col: str = "id", order_by: list[str] | None = None, min_length: int = 0, min_words: int = 0, skip_empty: bool = False, seeds: DataFrame | None = None, read_only: bool = False) -> DataFrame:
     """(id, duplicates) of every document: one span of the key's bytes if an earlier document, or one of ``seeds`` (key), has the key.
 
     Keys under ``min_length`` bytes or ``min_words`` words, and with ``skip_empty`` blank ones, are never duplicates.  ``read_only``
-    compares with the seeds alone.  One shuffle by a 128-bit hash of the key; the key itself is compared nowhere else.
+    compares with the seeds alone.  Documents that tie in order come as the table has them.  Hashes of 128 bits are shuffled, never keys.
     """
     value = docs[key].cast("string")
-    rows = docs.select(docs[id_col].alias("id"), *[c.alias(f"o{i}") for i, c in enumerate(docs[c] for c in (order_by or [id_col]))], F.octet_length(value).alias("size"), F.when(_long_enough(value, min_length, min_words, skip_empty, True), F.md5(value)).alias("k"))
-    first = Window.partitionBy("k").orderBy(*[F.col(f"o{i}").asc_nulls_last() for i in range(len(order_by or [id_col]))])
-    repeat = F.lit(False) if read_only else F.row_number().over(first) > 1
-    rows = rows.withColumn("repeat", repeat & F.col("k").isNotNull())
-    if seeds is not None:
-        known = seeds.select(F.md5(F.col(seeds.columns[0]).cast("string")).alias("k")).distinct().withColumn("known", F.lit(True))
-        rows = rows.join(known, "k", "left").withColumn("repeat", F.col("repeat") | F.coalesce("known", F.lit(False)))
+    order = [f"o{i}" for i in range(len(order_by or [id_col]))]
+    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), F.octet_length(value).alias("size"), F.when(_long_enough(value, min_length, min_words, skip_empty, True), _hash(value)).alias("k"))
+    rows = _repeats(rows, [*order, "_row"], seeds and seeds.select(_hash(F.col(seeds.columns[0]).cast("string")).alias("k")), read_only)
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"), F.lit(1.0).alias("score")))
     return rows.select("id", F.when(F.col("repeat"), span).otherwise(F.array().cast(SPANS)).alias("duplicates"))
 
 
-def explode_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "id", separator: str = "\n", order_by: list[str] | None = None) -> DataFrame:
-    """(id, o0.., pos, start, end, body) of each part of the texts; a part's span leaves out the separator, whose first character
-    alone separates spans."""
-    parts = F.split(F.col("text"), "\\Q" + separator + "\\E", -1)
-    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"o{i}") for i, c in enumerate(order_by or [id_col])], docs[text_col].alias("text"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id()).select("id", "_row", *[f"o{i}" for i in range(len(order_by or [id_col]))], F.posexplode(parts).alias("pos", "body"))
-    before = Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", (F.coalesce(F.sum(F.length("body")).over(before), F.lit(0)) + F.col("pos")).cast("long"))
-    return rows.withColumn("end", F.col("start") + F.length("body"))
+_PART = "array<struct<start:bigint,end:bigint,k:binary>>"
+
+
+def _cut_paragraphs(separator: str, min_length: int, min_words: int, skip_empty: bool):
+    """A column function: the parts of a text with their spans, which leave out the separator, whose first character alone separates spans, and
+    their hashes, null for those that aren't compared."""
+
+    def cut(texts: pa.Array) -> pa.Array:
+        sizes, starts, ends, keys = [0], [], [], []
+        for text in texts.to_pylist():
+            at = 0
+            for body in text.split(separator) if text is not None else ():
+                starts.append(at)
+                at += len(body)
+                ends.append(at)
+                at += 1
+                ok = len(body) >= min_length and not (skip_empty and not body.strip()) and not (min_words and len(body.split()) < min_words)
+                keys.append(hashlib.md5(body.encode("utf-8", "surrogatepass")).digest() if ok else None)
+            sizes.append(len(starts))
+        parts = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(keys, pa.binary())], ["start", "end", "k"])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), parts)
+
+    cut.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(cut, _PART).asNondeterministic()  # so that it runs once a row
 
 
 def dedupe_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "id", order_by: list[str] | None = None, separator: str = "\n", min_length: int = 0, min_words: int = 0, skip_empty: bool = False, seeds: DataFrame | None = None, read_only: bool = False) -> DataFrame:
-    """(id, duplicates) of every document: spans of its paragraphs that occurred before, in it or in an earlier document or a seed."""
-    many = len(order_by or [id_col])
-    rows = explode_paragraphs(docs, text_col, id_col, separator, order_by)
-    body = F.col("body")
-    rows = rows.withColumn("k", F.when(_long_enough(body, min_length, min_words, skip_empty, False), F.md5(body))).drop("body")
-    first = Window.partitionBy("k").orderBy(*[F.col(f"o{i}").asc_nulls_last() for i in range(many)], "_row", "pos")
-    some = rows.where("k IS NOT NULL")
-    some = some.withColumn("repeat", F.lit(False) if read_only else F.row_number().over(first) > 1)
-    if seeds is not None:
-        known = seeds.select(F.md5(F.col(seeds.columns[0])).alias("k")).distinct().withColumn("known", F.lit(True))
-        some = some.join(known, "k", "left").withColumn("repeat", F.col("repeat") | F.coalesce("known", F.lit(False)))
+    """(id, duplicates) of every document: spans of its paragraphs that occurred before, in it or in an earlier document or a seed.
+
+    Each text is cut and hashed where it is read; places and hashes alone are shuffled.
+    """
+    order = [f"o{i}" for i in range(len(order_by or [id_col]))]
+    cut = _cut_paragraphs(separator, min_length, min_words, skip_empty)
+    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), cut(docs[text_col]).alias("parts"))
+    rows = rows.select("id", *order, "_row", F.posexplode("parts").alias("pos", "p")).select("id", *order, "_row", "pos", "p.*").where("k IS NOT NULL")
+    some = _repeats(rows, [*order, "_row", "pos"], seeds and seeds.select(_hash(F.col(seeds.columns[0])).alias("k")), read_only)
     found = some.where("repeat").select("id", F.struct("start", "end", F.lit(1.0).alias("score")).alias("span"))
     return _collect(docs, id_col, found)
 
@@ -94,37 +123,36 @@ def paragraph_ngrams(text: str, length: int, stride: int, separator: str = "\n")
     return out
 
 
-def dedupe_ngrams(docs: DataFrame, ngram_length: int, stride: int = 0, threshold: float = 1.0, skip_short: bool = False, text_col: str = "text", id_col: str = "id", order_by: list[str] | None = None, separator: str = "\n", seeds: DataFrame | None = None, read_only: bool = False) -> DataFrame:
+def dedupe_ngrams(docs: DataFrame, ngram_length: int, stride: int = 0, threshold: float = 1.0, skip_short: bool = False, min_length: int = 0, min_words: int = 0, skip_empty: bool = False, text_col: str = "text", id_col: str = "id", order_by: list[str] | None = None, separator: str = "\n", seeds: DataFrame | None = None, read_only: bool = False) -> DataFrame:
     """(id, duplicates) of every document: paragraphs of whose n-grams at least the share ``threshold`` occurred before.
 
-    A paragraph of fewer than two n-grams counts as one n-gram, its whole text, unless ``skip_short``.  Occurrences are
+    A paragraph of fewer than two n-grams counts as one n-gram, its whole text, unless ``skip_short``.  Paragraphs under ``min_length`` characters
+    or ``min_words`` words, and with ``skip_empty`` blank ones, are left out.  Occurrences are
     ordered by document, paragraph and place; the n-grams of seeds (text) all came before.
     """
-    many = len(order_by or [id_col])
+    order = [f"o{i}" for i in range(len(order_by or [id_col]))]
 
     def cut(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("grams", pa.list_(pa.string()))]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("grams", pa.list_(pa.binary()))]))
         out = []
         for t in texts.to_pylist():
             parts = []
             for (a, b, _, grams), body in zip(paragraph_ngrams(t or "", ngram_length, stride, separator), (t or "").split(separator)):
                 if len(grams) < 2:
                     grams = [] if skip_short or not body else [body]
-                parts.append({"start": a, "end": b, "grams": grams})
+                if len(body) < min_length or skip_empty and not body.strip() or min_words and len(body.split()) < min_words:
+                    grams = []
+                parts.append({"start": a, "end": b, "grams": [hashlib.md5(g.encode("utf-8", "surrogatepass")).digest() for g in grams]})
             out.append(parts)
         return pa.array(out, kind)
 
     cut.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    cut = F.arrow_udf(cut, "array<struct<start:bigint,end:bigint,grams:array<string>>>").asNondeterministic()
-    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"o{i}") for i, c in enumerate(order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), cut(docs[text_col]).alias("parts"))
-    keys = [f"o{i}" for i in range(many)]
-    rows = rows.select("id", *keys, "_row", F.posexplode("parts").alias("pos", "p")).select("id", *keys, "_row", "pos", "p.start", "p.end", F.posexplode("p.grams").alias("at", "gram"))
-    rows = rows.withColumn("k", F.md5("gram")).drop("gram")
-    first = Window.partitionBy("k").orderBy(*[F.col(c).asc_nulls_last() for c in keys], "_row", "pos", "at")
-    rows = rows.withColumn("repeat", F.lit(False) if read_only else F.row_number().over(first) > 1)
+    cut = F.arrow_udf(cut, "array<struct<start:bigint,end:bigint,grams:array<binary>>>").asNondeterministic()
+    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), cut(docs[text_col]).alias("parts"))
+    rows = rows.select("id", *order, "_row", F.posexplode("parts").alias("pos", "p")).select("id", *order, "_row", "pos", "p.start", "p.end", F.posexplode("p.grams").alias("at", "k"))
     if seeds is not None:
-        known = seeds.select(F.explode(cut(F.col(seeds.columns[0]))).alias("p")).select(F.explode("p.grams").alias("g")).select(F.md5("g").alias("k")).distinct().withColumn("known", F.lit(True))
-        rows = rows.join(known, "k", "left").withColumn("repeat", F.col("repeat") | F.coalesce("known", F.lit(False)))
+        seeds = seeds.select(F.explode(cut(F.col(seeds.columns[0]))).alias("p")).select(F.explode("p.grams").alias("k"))
+    rows = _repeats(rows, [*order, "_row", "pos", "at"], seeds, read_only)
     share = rows.groupBy("id", "_row", "pos", "start", "end").agg((F.sum(F.col("repeat").cast("int")) / F.count("*")).cast("float").alias("score"))
     found = share.where((F.col("score") >= F.lit(threshold).cast("float")) & (F.col("score") > 0)).select("id", F.struct("start", "end", F.col("score").cast("double").alias("score")).alias("span"))
     return _collect(docs, id_col, found)

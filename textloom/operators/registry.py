@@ -128,6 +128,12 @@ def tag(docs: DataFrame, taggers: Iterable[str], experiment: str = "exp", id_col
     return docs.select(docs[id_col].alias("id"), attributes(text, docs[id_col], taggers, experiment, {c: docs[c] for c in docs.columns}).alias("attributes"))
 
 
+def with_attributes(docs: DataFrame, taggers: Iterable[str], experiment: str = "exp", id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """docs with their attributes as a column, for a mix in the same plan: nothing is joined then."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.withColumn("attributes", attributes(text, docs[id_col], taggers, experiment, {c: docs[c] for c in docs.columns}))
+
+
 def spans(tagged: DataFrame) -> DataFrame:
     """(id, experiment, tagger, type, start, end, score): one row for each span."""
     rows = tagged.select("id", F.explode("attributes").alias("key", "its")).select("id", F.split("key", "__", 3).alias("k"), F.explode("its").alias("s"))

@@ -258,3 +258,10 @@ def truthy(doc: Column, program: str) -> Column:
     v = Parser(program).parse()(of_path(doc, []))
     empty = F.when(v.kind == "number", v.number == 0).when(v.kind.isin("string", "array", "object"), v.length == 0).otherwise(F.lit(False))
     return F.coalesce(v.true & ~empty, F.lit(False))
+
+
+def text(doc: Column, program: str) -> Column:
+    """The program's output as text: a string itself, a number without a needless point, nothing for null."""
+    v = Parser(program).parse()(of_path(doc, []))
+    number = F.when(v.number == F.floor(v.number), F.floor(v.number).cast("string")).otherwise(v.number.cast("string"))
+    return F.when(v.kind == "null", "").when(v.kind == "string", v.string).when(v.kind == "number", number).otherwise(v.json)
