@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.spans import replace_spans
-from textloom.functions.text import SPANS, paragraphs, strip
+from textloom.functions.text import SPANS, strip
 from textloom.operators import dedupe, mix, sampling, stats, taggers, threads, tokenize, url_taggers
+from textloom.operators import taggers as tg
 from textloom.operators.python_taggers import (add_language_taggers, add_scorer_taggers, code_composition, pii_spans, periodic_runs, split_paragraphs, words_uax29)
 from textloom.operators.registry import PYTHON, add_tagger
 from textloom.plans import jq, jsonpath
@@ -29,13 +30,11 @@ def predict(name, text, fields=None):
 # text and spans
 
 
-def test_strip_and_paragraphs_are_pythons(spark):
+def test_strip_is_pythons(spark):
     texts = ["", " a ", "\n\na\n \nb\x1c", " x \n", "a\nb\n", "é😊\n\n"]
-    rows = docs_of(spark, texts).select("text", strip(F.col("text")).alias("s"), paragraphs(F.col("text")).alias("p"), paragraphs(F.col("text"), True).alias("q")).collect()
+    rows = docs_of(spark, texts).select("text", strip(F.col("text")).alias("s")).collect()
     for r in rows:
         assert r["s"] == r["text"].strip()
-        assert [tuple(x) for x in r["p"]] == split_paragraphs(r["text"])
-        assert [tuple(x) for x in r["q"]] == split_paragraphs(r["text"], True)
 
 
 def rewrite(text, spans, new):
@@ -482,3 +481,74 @@ def test_streams(spark, tmp_path):
     q = incremental.mix_batches(stream, lambda df: df.where("text = 'a'"), str(tmp_path / "out"), str(tmp_path / "c2"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_published_language_taggers(spark):
+    from textloom.functions.languages import languages
+    from textloom.operators.python_taggers import LANGUAGE_SCORERS, set_language_scorer
+
+    texts = {"en": "This is one of the things that they said when it was for all of us", "de": "Das ist nicht der Tag, an dem sie auch mit einer Antwort werden", "fr": "Ce sont les choses que nous avons dans une maison avec son jardin et pas plus", "ja": "これは日本語の文章です", "zh": "这是一个中文句子", "ru": "Это предложение на русском языке", "th": "นี่คือประโยคภาษาไทย"}
+    for lang, text in texts.items():
+        assert next(iter(languages(text))) == lang and abs(sum(languages(text).values()) - 1) < 0.01
+    assert languages("") == {} and languages("123 !") == {}
+    names = [n for n in tg.names() if n.split("_")[0] in ("cld2", "cld3", "ft", "langdetect", "lingua")]
+    assert len(names) == 25
+    docs = docs_of(spark, [texts["en"] + "\n" + texts["de"], ""])
+    rows = tg.tag(docs, names).collect()
+    got = {r["id"]: r["attributes"] for r in rows}
+    first = got[min(got)]
+    assert [round(s["score"]) for s in first["exp__lingua_en_par_v1__en"]] == [1, 0] == [round(s["score"]) for s in first["exp__cld2_en_paragraph_with_doc_score_v2__en"]]
+    a, b = (s["end"] - s["start"] for s in first["exp__cld2_en_paragraph_v2__en"])
+    doc, = first["exp__cld3_en_paragraph_with_doc_score_v2__doc_en"]
+    assert abs(doc["score"] - a / (a + b)) < 0.02 and "exp__lingua_en_only_v1__not_en" not in first
+    set_language_scorer("lingua", lambda: lambda text: {"xx": 0.995, "yy": 0.005})
+    try:
+        some = tg.tag(docs, ["lingua_1e2"]).first()["attributes"]
+    finally:
+        LANGUAGE_SCORERS.clear()
+    assert list(some) == ["exp__lingua_1e2__xx"]
+    with pytest.raises(Exception, match="set_classifier"):
+        tg.tag(docs, ["dclm-oh-eli5"]).collect()
+
+
+def test_published_lists(spark, tmp_path):
+    from textloom.operators.url_taggers import PUBLISHED, AdFilter, set_lists
+
+    assert len(PUBLISHED) == 27 and set(PUBLISHED) <= set(tg.names())
+    (tmp_path / "hosts.txt").write_text("# list\n0.0.0.0 bad.example.com\nworse.example.org\nnot a line at all\n")
+    (tmp_path / "ads.txt").write_text("! rules\n||ads.example.com^\n/banner/*\n@@||ads.example.com/ok^\n")
+    (tmp_path / "wiki.json").write_text('[{"url": "https://paper.example.net/", "description": "a newspaper"}, {"url": "https://fun.example.net", "description": "a satire site"}]')
+    set_lists({"blocklist_hosts_social_v1": [str(tmp_path / "hosts.txt")], "oisd_big_abp_v1": [str(tmp_path / "ads.txt")], "allowlist_wikidata_v1": [str(tmp_path / "wiki.json")], "allowlist_wikidata_cleaned_v1": [str(tmp_path / "wiki.json")]})
+    urls = ["http://www.bad.example.com/x", "https://worse.example.org", "http://good.example.com", None, "http://sub.ads.example.com/y", "http://ads.example.com/ok", "http://a.b/banner/1", "https://paper.example.net/a", "https://fun.example.net/a"]
+    docs = spark.createDataFrame([(i, "text", u) for i, u in enumerate(urls)], "id long, text string, url string")
+    names = ["blocklist_hosts_social_v1", "oisd_big_abp_v1", "allowlist_wikidata_v1", "allowlist_wikidata_cleaned_v1"]
+    got = {n: [r["id"] for r in tg.tag(docs, [n]).collect() if r["attributes"][f"exp__{n}__url"]] for n in names}
+    assert got == dict(zip(names, ([0, 1], [4, 6], [7, 8], [7])))
+    with pytest.raises(ValueError):
+        set_lists({"no_such_list": []})
+    # looking rules up by host and word finds what trying every rule does
+    rules = ["||a.example^", "||b.example/path", "ad", "/ads/", "banner*top", "|http://c.", ".gif|", "track^", "&x=*&y=", "@@||a.example/fine", "||d.e*"]
+    every = [AdFilter._compile(r.removeprefix("@@")) for r in rules]
+    for url in ("http://a.example/", "http://x.a.example:80/fine", "http://b.example/path1", "http://b.example/", "http://q/ads/1", "http://q/loads", "http://q/banner-1-top", "http://c.d/", "http://q/a.gif", "http://q/track?", "http://q/trackx", "http://q/?&x=1&y=2", "http://d.eee/", "http://nothing/"):
+        want = any(p.search(url) for p, r in zip(every, rules) if not r.startswith("@@")) and not every[9].search(url)
+        assert AdFilter(rules).blocks(url) == want, url
+
+
+def test_dedupe_of_a_hot_key_has_no_window(spark):
+    rows = [(i, "the same" if i % 10 else f"own {i}") for i in range(400)] + [(900, None), (901, None)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    for found, same in ((dedupe.dedupe_documents(docs), 359), (dedupe.dedupe_paragraphs(docs), 359)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+        got = {r["id"]: r["duplicates"] for r in found.collect()}
+        assert len(got) == 402 and sum(map(bool, got.values())) == same and got[1] == [] and not got[900]
+
+
+def test_only_named_fields_are_parsed(spark):
+    columns = ["id", "text", "lang", "attributes"]
+    named = mix.named_fields
+    assert named(columns, ["$.attributes[?(@.a && @.b[0][2] < 5)]"]) == (["attributes"], sorted({"attributes", "a", "b"}))
+    assert named(columns, ['.lang == "en" and .attributes.x[0][2] > 3.5'])[0] == ["lang", "attributes"]
+    assert named(columns, ["$[*]"]) == (columns, None) and named(columns, [". | length > 3"]) == (columns, None)
+    assert named(columns, [".attributes | length > 0"]) == (["attributes"], None) and named(columns, ["$.attributes[*]"])[1] is None
+    assert named(columns, ["$['lang']"])[0] == ["lang"]

@@ -20,7 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({', '.join(map(quoted, row))})" for row in taggers.tagger_rows())
+    return {**_SQL, "tagger_list": f"SELECT name, kind, doc FROM (VALUES {rows}) v(name, kind, doc)"}
 
 
 def _query(sql: str | None = None):
@@ -93,12 +95,39 @@ def tag_c4_v2(spark, sf_dir):
     return taggers.spans(taggers.tag(_docs(spark, sf_dir), ["c4_v2"]))
 
 
-@_query()
+def _gopher_sql(name: str, cut: str) -> str:
+    """Every score of every document, by explosion to lines and n-grams."""
+    base = {
+        "character_count": "length(text)", "word_count": "len(w)", "median_word_length": "coalesce(list_median(list_transform(w, lambda x: length(x))), 0)",
+        "symbol_to_word_ratio": "len(list_filter(w, lambda x: contains(x, '#') OR contains(x, '…'))) / greatest(len(w), 1)",
+        "fraction_of_words_with_alpha_character": "len(list_filter(w, lambda x: regexp_matches(x, '\\pL'))) / greatest(len(w), 1)",
+        "required_word_count": "len(list_filter(w, lambda x: x IN ('the', 'be', 'to', 'of', 'and', 'that', 'have', 'with')))",
+        "fraction_of_lines_starting_with_bullet_point": "len(list_filter(l, lambda x: x <> '' AND x[1] IN ('*', '-'))) / len(l)",
+        "fraction_of_lines_ending_with_ellipsis": "len(list_filter(l, lambda x: x <> '' AND x[-1] = '…')) / len(l)",
+        "fraction_of_duplicate_lines": "coalesce(again, 0) / len(l)", "fraction_of_characters_in_duplicate_lines": "coalesce(again_chars, 0) / greatest(chars, 1)",
+    }
+    head = f"'exp' AS experiment, '{name}' AS tagger"
+    parts = [f"SELECT id, {head}, '{k}' AS type, 0::BIGINT AS start, length(text)::BIGINT AS \"end\", CASE WHEN text = '' THEN 0 ELSE printf('%.5f', ({v})::DOUBLE)::DOUBLE END AS score FROM d" for k, v in base.items()]
+    parts.append(f"SELECT id, {head}, 'fraction_of_characters_in_most_common_' || n || 'grams', 0, size, printf('%.5f', arg_max(many * c, (many, -first))::DOUBLE / greatest(any_value(chars), 1))::DOUBLE FROM c WHERE n <= 4 GROUP BY id, n, size")
+    parts.append(f"SELECT id, {head}, 'fraction_of_characters_in_duplicate_' || n || 'grams', 0, size, printf('%.5f', coalesce(sum(many * c) FILTER (many > 1), 0)::DOUBLE / greatest(sum(many * c), 1))::DOUBLE FROM c WHERE n > 4 GROUP BY id, n, size")
+    return rf"""WITH g AS (
+  SELECT doc_id AS id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w, string_split_regex(text, '{cut}') AS l FROM documents),
+line AS (SELECT id, x, count(*) AS k FROM (SELECT id, unnest(l) AS x FROM g) GROUP BY ALL HAVING count(*) > 1),
+twice AS (SELECT id, sum(k) AS again, sum(k * length(x)) AS again_chars FROM line GROUP BY id),
+d AS (SELECT g.*, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS chars, again, again_chars FROM g LEFT JOIN twice USING (id)),
+n AS (
+  SELECT id, n, chars, size, i, hash(gram) AS h, length(gram) - n + 1 AS c
+  FROM (SELECT id, n, chars, length(text)::BIGINT AS size, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], chr(1)))) AS gram FROM d, (SELECT unnest(range(2, 11)) AS n))),
+c AS (SELECT id, n, size, any_value(chars) AS chars, h, count(*) AS many, min(i) AS first, any_value(c) AS c FROM n GROUP BY id, n, size, h)
+""" + "\nUNION ALL ".join(parts)
+
+
+@_query(_gopher_sql("gopher_v1", r"\n"))
 def tag_gopher_v1(spark, sf_dir):
     return taggers.spans(taggers.tag(_docs(spark, sf_dir), ["gopher_v1"]))
 
 
-@_query()
+@_query(_gopher_sql("gopher_v2", r"\n+"))
 def tag_gopher_v2(spark, sf_dir):
     return taggers.spans(taggers.tag(_docs(spark, sf_dir), ["gopher_v2"]))
 
@@ -122,8 +151,36 @@ def _tag_query(name):
     return run
 
 
+def _whole_sql(name: str, scores: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id AS id, 'exp' AS experiment, '{name}' AS tagger, '{k}' AS type, 0::BIGINT AS start, length(text)::BIGINT AS \"end\", printf('%.5f', ({v})::DOUBLE)::DOUBLE AS score FROM documents" for k, v in scores.items())
+
+
+def _unit(key: str, seed: int = 0) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / pow(2, 52))"
+
+
+_BARE = "(len(string_split(text, chr(10))) - CASE WHEN text = '' OR text[-1] = chr(10) THEN 1 ELSE 0 END)"
+_OTHER_SQL = {
+    "random_number_v1": _whole_sql("random_number_v1", {"random": _unit("doc_id", 97)}),
+    "code_redpajama_taggers_v1": _whole_sql("code_redpajama_taggers_v1", {
+        "max_line_length_doc": "list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))",
+        "avg_line_length_doc": f"CASE WHEN {_BARE} > 0 THEN (length(text) - length(regexp_replace(text, '[^\n]', '', 'g'))) / {_BARE} ELSE 0 END",
+        "alnum_prop_doc": r"CASE WHEN text <> '' THEN length(regexp_replace(text, '[^\pL\pN]', '', 'g')) / length(text) ELSE 0 END",
+        "alpha_token_prop_doc": r"CASE WHEN regexp_matches(text, '\S') THEN length(regexp_replace(text, '[^\pL]', '', 'g')) / len(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_\s]')) ELSE 0 END",
+    }),
+    "code_starcoder_taggers_v2": _whole_sql("code_starcoder_taggers_v2", {"has_xml_template_doc": "CASE WHEN contains(left(text, 100), '<?xml version=') THEN 1 ELSE 0 END", "num_github_stars_doc": "0", "code_to_comment_ratio_doc": "0.5", "code_to_text_ratio_html_doc": "1"}),
+    "whitespace_tokenizer_with_paragraphs_v1": rf"""WITH {_LINES},
+p AS (SELECT *, least(start + length(line) + 1, length(text))::BIGINT AS stop, len({_WORD.replace("(text,", "(line,")}) + 1 AS many FROM lines WHERE NOT regexp_full_match(line, '\s*'))
+SELECT id, 'exp' AS experiment, 'whitespace_tokenizer_with_paragraphs_v1' AS tagger, 'paragraph' AS type, start, stop AS "end", many::DOUBLE AS score FROM p
+UNION ALL SELECT doc_id, 'exp', 'whitespace_tokenizer_with_paragraphs_v1', 'document', 0, length(text), coalesce((SELECT sum(many) FROM p WHERE p.id = doc_id), 0)::DOUBLE FROM documents""",
+    "not_alphanum_paragraph_v1": rf"""WITH {_LINES},
+p AS (SELECT *, least(start + length(line) + 1, length(text))::BIGINT AS stop FROM lines WHERE NOT regexp_full_match(line, '\s*') AND NOT regexp_matches(line, '[a-zA-Z0-9]') AND regexp_full_match(line, '[\pP\pS\s]+'))
+SELECT id, 'exp' AS experiment, 'not_alphanum_paragraph_v1' AS tagger, 'all_punct' AS type, start, stop AS "end", 1.0::DOUBLE AS score FROM p
+UNION ALL SELECT doc_id, 'exp', 'not_alphanum_paragraph_v1', 'all_punct', 0, length(text), 0.0 FROM documents WHERE doc_id NOT IN (SELECT id FROM p)""",
+}
+
 for _name in _OTHER:
-    _query()(_tag_query(_name))
+    _query(_OTHER_SQL.get(_name))(_tag_query(_name))
 
 
 @_query()
@@ -295,7 +352,7 @@ def without_empty(spark, sf_dir):
     return sampling.without_empty(_docs(spark, sf_dir))
 
 
-@_query()
+@_query(f"SELECT doc_id AS id, text FROM documents WHERE {_unit('doc_id')} < 0.25")
 def random_sample(spark, sf_dir):
     return _docs(spark, sf_dir).where(sampling.random_share(F.col("id"), 0.25))
 
@@ -310,7 +367,7 @@ def mixture_rates(spark, sf_dir):
     return sampling.mixture_rates(sizes, wanted, 1_000_000).select("topic", F.round("rate", 9).alias("rate"))
 
 
-@_query()
+@_query(f"SELECT id, unnest(range(1, n + 1))::INTEGER AS copy FROM (SELECT doc_id AS id, 2 + ({_unit('doc_id')} < 2.4::DOUBLE - 2)::INTEGER AS n FROM documents)")
 def resampled(spark, sf_dir):
     return sampling.resample(_docs(spark, sf_dir).select("id"), 2.4, F.col("id"))
 
@@ -383,13 +440,15 @@ def filled_in_middle(spark, sf_dir):
     return tokenize.fill_in_middle(_docs(spark, sf_dir), rate=0.5)
 
 
-@_query()
+@_query(rf"""WITH c AS (SELECT doc_id AS id, len(string_split_regex(text, '\s+'))::BIGINT AS n_tokens, floor({_unit('doc_id')} * 16)::BIGINT AS shard, {_unit('doc_id', 1)} AS u FROM documents),
+s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY shard ORDER BY u, id)::BIGINT AS "end" FROM c)
+SELECT id, n_tokens, shard, "end", "end" - n_tokens AS start FROM s""")
 def token_places(spark, sf_dir):
     counted = _docs(spark, sf_dir).select("id", F.size(F.split("text", r"\s+")).cast("long").alias("n_tokens"))
     return tokenize.token_offsets(counted, shards=16)
 
 
-@_query()
+@_query("SELECT doc_id AS id, text FROM documents")
 def shuffled_documents(spark, sf_dir):
     return tokenize.shuffled(_docs(spark, sf_dir))
 

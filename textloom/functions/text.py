@@ -28,19 +28,10 @@ def split_lines(text: Column, separator: str = "\n") -> Column:
     return F.split(text, "\\Q" + separator + "\\E", -1)
 
 
-def paragraphs(text: Column, keep_blank: bool = False) -> Column:
-    """array<struct<start,end,body>> of the lines of a text, each with its newline; blank ones are left out unless kept."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), 0)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,body:string>>")
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x)).cast("long").alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).cast("long").alias("end"), x.alias("body")))).alias("out"),
-        ),
-    )["out"]
-    return walk if keep_blank else F.filter(walk, lambda p: strip(p["body"]) != "")
+def unit(key: Column, seed: int = 0) -> Column:
+    """A number from 0 up to 1, fixed by the key and the seed: the first 52 bits of an MD5."""
+    head = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13)
+    return F.conv(head, 16, 10).cast("long") / float(1 << 52)
 
 
 def span(start, end, score) -> Column:

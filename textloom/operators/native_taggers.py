@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, whole
+from ..functions.text import strip, unit, whole
 from .registry import native
 
+
 @native("bytes_length_v1")
 def bytes_length(text: Column, _id: Column) -> dict[str, Column]:
     """UTF-8 bytes of the text."""
@@ -35,4 +36,4 @@ def char_length_strip(text: Column, _id: Column) -> dict[str, Column]:
 @native("random_number_v1")
 def random_number(text: Column, doc_id: Column) -> dict[str, Column]:
     """A number from 0 up to 1, fixed by the document's id."""
-    return {"random": whole(text, F.pmod(F.xxhash64(doc_id, F.lit(97)), F.lit(1 << 52)) / float(1 << 52))}
+    return {"random": whole(text, unit(doc_id, 97))}

@@ -672,3 +672,122 @@ def code_composition():
         return out
 
     return predict
+
+
+#: Scorers of the published families of language taggers: makers of score(text) -> {language: probability}.  Without a model of one's own they all use
+#: the built-in scorer.
+LANGUAGE_SCORERS: dict[str, object] = {}
+_FAMILIES = {
+    "cld3": {"en_doc_v2": "en", "en_paragraph_v2": "en", "en_paragraph_with_doc_score_v2": "en"},
+    "cld2": {"doc_v2": "all", "paragraph_v2": "all", "en_doc_v2": "en", "en_paragraph_v2": "en", "en_paragraph_with_doc_score_v2": "en"},
+    "ft_lang_id": {"doc_v1": "all", "1e2": "some", "paragraph_v1": "all", "en_doc_v2": "en", "en_only_v2": "only", "en_paragraph_v2": "en", "en_paragraph_with_doc_score_v2": "en"},
+    "langdetect": {"doc_v1": "all", "doc_en_v1": "en", "paragraph_v1": "all", "en_paragraph_v1": "en"},
+    "lingua": {"doc_v1": "all", "1e2": "some", "doc_en_v1": "en", "en_only_v1": "only", "par_v1": "all", "en_par_v1": "en"},
+}
+
+
+def set_language_scorer(family: str, make) -> None:
+    """Sets the maker of a family's scorer, for the taggers applied from now on."""
+    if family not in _FAMILIES:
+        raise ValueError(f"no such family: {family}")
+    LANGUAGE_SCORERS[family] = make
+
+
+def _language_predictor(view: str, by_paragraph: bool, with_doc: bool, make_scorer):
+    def make():
+        from ..functions.languages import languages
+
+        score = make_scorer() if make_scorer else languages
+
+        def predict(text, _):
+            out: Spans = {}
+            for a, b, body in split_paragraphs(text) if by_paragraph else [(0, len(text), text)]:
+                found = score(body)
+                if view == "all":
+                    its = found
+                elif view == "some":
+                    its = {k: round(p, 2) for k, p in found.items() if p > 0.01}
+                else:
+                    p = found.get("en", 0.0)
+                    its = {"en": p} if view == "only" else {"en": p, "not_en": 1.0 - p}
+                for k, p in its.items():
+                    out.setdefault(k, []).append((a, b, p))
+            if with_doc:
+                mean = sum((b - a) * p for a, b, p in out.get("en", [])) / len(text) if text else 0.0
+                out["doc_en"], out["doc_not_en"] = [(0, len(text), mean)], [(0, len(text), 1 - mean if text else 0.0)]
+            return out
+
+        return predict
+
+    return make
+
+
+class _LanguageTagger:
+    """Languages by the family's scorer: all, those over 0.01, or English and its complement, of the document or its paragraphs."""
+
+    def __init__(self, family: str, kind: str, view: str):
+        self.how = family, view, "par" in kind, "doc_score" in kind
+        self.__doc__ = type(self).__doc__
+
+    def _make(self):
+        family, *how = self.how
+        return _language_predictor(*how, LANGUAGE_SCORERS.get(family))
+
+    def __reduce__(self):  # what goes to the workers is the maker with the scorer of the moment
+        family, *how = self.how
+        return _language_predictor, (*how, LANGUAGE_SCORERS.get(family))
+
+    def __call__(self):
+        return self._make()()
+
+
+for _family, _kinds in _FAMILIES.items():
+    for _kind, _view in _kinds.items():
+        add_tagger(f"{_family}_{_kind}")(_LanguageTagger(_family, _kind, _view))
+
+
+#: Models of the published classifier taggers: makers of score(text) -> {label: probability}.
+CLASSIFIERS: dict[str, object] = {}
+_CLASSIFIED = {"jigsaw_hatespeech_document_v2": "document", "jigsaw_hatespeech_sentence_v2": "sentence", "jigsaw_nsfw_document_v1": "document", "jigsaw_nsfw_sencence_v2": "sentence", "dclm-oh-eli5": "document"}
+
+
+def set_classifier(name: str, make) -> None:
+    """Sets the maker of a classifier tagger's scorer, for the taggers applied from now on; no such model comes with the package."""
+    if name not in _CLASSIFIED:
+        raise ValueError(f"no such classifier: {name}")
+    CLASSIFIERS[name] = make
+
+
+def _classifier(name: str, level: str, make_scorer):
+    def make():
+        if make_scorer is None:
+            raise ValueError(f"set_classifier() gives no model for {name}")
+        score = make_scorer()
+
+        def predict(text, _):
+            out: Spans = {}
+            for a, b, body in sentences(text) if level == "sentence" else [(0, len(text), text)]:
+                for label, p in score(body).items():
+                    out.setdefault(re.sub(r"\W", "_", label), []).append((a, b, p))
+            return out
+
+        return predict
+
+    return make
+
+
+class _ClassifierTagger:
+    """Labels of a document or its sentences by the model that set_classifier() gives."""
+
+    def __init__(self, name: str, level: str):
+        self.how, self.__doc__ = (name, level), type(self).__doc__
+
+    def __reduce__(self):
+        return _classifier, (*self.how, CLASSIFIERS.get(self.how[0]))
+
+    def __call__(self):
+        return _classifier(*self.how, CLASSIFIERS.get(self.how[0]))()
+
+
+for _name, _level in _CLASSIFIED.items():
+    add_tagger(_name)(_ClassifierTagger(_name, _level))

@@ -62,10 +62,14 @@ def names() -> list[str]:
     return sorted({*NATIVE, *PYTHON})
 
 
-def tagger_table(spark: SparkSession) -> DataFrame:
+def tagger_rows() -> list[tuple[str, str, str]]:
     """(name, kind, doc) of every registered tagger."""
-    rows = [(n, "native" if n in NATIVE else "python", ((NATIVE.get(n) or PYTHON[n]).__doc__ or "").strip().split("\n")[0]) for n in names()]
-    return spark.createDataFrame(rows, "name string, kind string, doc string")
+    return [(n, "native" if n in NATIVE else "python", ((NATIVE.get(n) or PYTHON[n]).__doc__ or "").strip().split("\n")[0]) for n in names()]
+
+
+def tagger_table(spark: SparkSession) -> DataFrame:
+    """tagger_rows() as a table."""
+    return spark.createDataFrame(tagger_rows(), "name string, kind string, doc string")
 
 
 def load_modules(modules: Iterable[str]) -> None:

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, unit
 
 
 def hash_suffixes(probability: float) -> list[str]:
@@ -30,7 +30,7 @@ def hash_sample(docs: DataFrame, probability: float, complement: bool = False, t
 
 def random_share(doc_id: Column, probability: float, seed: int = 0) -> Column:
     """Whether a document is in a random share, by its id."""
-    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 40)) < int(probability * (1 << 40))
+    return unit(doc_id, seed) < probability
 
 
 def without_empty(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -48,13 +48,12 @@ def resample(rows: DataFrame, rate: Column | float, key: Column, seed: int = 0)
     """rows taken ``rate`` times on average: so many whole copies, and one more for the fractional part's share of keys.  A copy's
     number is in the column ``copy``."""
     rate = rate if isinstance(rate, Column) else F.lit(float(rate))
-    unit = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    copies = (F.floor(rate) + (unit < rate - F.floor(rate)).cast("long")).cast("int")
+    copies = (F.floor(rate) + (unit(key, seed) < rate - F.floor(rate)).cast("long")).cast("int")
     return rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
 
 
 def mixture_rates(sizes: DataFrame, wanted: DataFrame, total_tokens: int) -> DataFrame:
     """(topic, rate): how often each topic (topic, n_tokens) is taken for its share of ``total_tokens`` by weights (topic, weight)."""
     both = sizes.join(wanted, "topic")
-    weight = both.agg(F.sum("weight").alias("all"))
-    return both.crossJoin(weight).select("topic", (F.col("weight") / F.col("all") * total_tokens / F.col("n_tokens")).alias("rate"))
+    weight = both.agg(F.sum("weight").alias("all")).withColumn("one", F.lit(1))  # a single row
+    return both.withColumn("one", F.lit(1)).join(weight, "one").select("topic", (F.col("weight") / F.col("all") * total_tokens / F.col("n_tokens")).alias("rate"))

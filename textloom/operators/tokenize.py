@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import unit
+
 
 def dtype_for(vocabulary: int) -> np.dtype:
     """The smallest unsigned type that holds the ids."""
@@ -69,7 +71,7 @@ def specials(tokens: Column, bos: int | None, eos: int | None, truncate: int | N
 
 def shuffled(docs: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
     """docs in an order that the seed fixes, whatever the partitions: sorted by a hash over all of them."""
-    return docs.orderBy(F.xxhash64(F.lit(seed), docs[id_col]), docs[id_col])
+    return docs.orderBy(unit(docs[id_col], seed), docs[id_col])
 
 
 def token_offsets(counted: DataFrame, shards: int, id_col: str = "id", n_col: str = "n_tokens", seed: int = 0) -> DataFrame:
@@ -77,8 +79,8 @@ def token_offsets(counted: DataFrame, shards: int, id_col: str = "id", n_col: st
 
     Shards are by a hash of the id, so the running sums never leave a partition.
     """
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(shards))
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col)), id_col).rowsBetween(Window.unboundedPreceding, 0)
+    shard = F.floor(unit(F.col(id_col), seed) * shards)
+    order = Window.partitionBy("shard").orderBy(unit(F.col(id_col), seed + 1), id_col).rowsBetween(Window.unboundedPreceding, 0)
     rows = counted.withColumn("shard", shard).withColumn("end", F.sum(n_col).over(order))
     return rows.withColumn("start", F.col("end") - F.col(n_col))
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ipaddress
+import json
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,18 @@ def parse_line(line: str, keep_local: bool = True) -> list[str]:
 def parse_list(lines: DataFrame) -> DataFrame:
     """(address) of the lines (value) of block lists, without those that can't be read."""
 
-    @F.udf("array<string>")
-    def parse(line):
-        try:
-            return parse_line(line or "")
-        except ValueError:
-            return []
+    def parse(values: pa.Array) -> pa.Array:
+        return pa.array([_readable(v or "") for v in values.to_pylist()], pa.list_(pa.string()))
 
-    return lines.select(F.explode(parse("value")).alias("address")).distinct()
+    parse.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return lines.select(F.explode(F.arrow_udf(parse, "array<string>")("value")).alias("address")).distinct()
+
+
+def _readable(line: str) -> list[str]:
+    try:
+        return parse_line(line)
+    except ValueError:
+        return []
 
 
 def flag_listed(docs: DataFrame, addresses: DataFrame, by: str = "link", url_col: str = "url", flag: str = "listed") -> DataFrame:
@@ -73,45 +79,59 @@ def flag_listed(docs: DataFrame, addresses: DataFrame, by: str = "link", url_col
     return joined.withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_key", "_address", "_hit")
 
 
+def _is_listed(listed: set[str], by: str):
+    """predict(text, fields) of a list of addresses."""
+
+    def predict(text, fields):
+        url = (fields.get("url") or "").strip().lower()
+        bare = re.sub(r"^[^/@]*@", "", re.sub(r"[?#].*$", "", re.sub(r"^(?:[a-z][a-z0-9+.-]*:)?//", "", url))).rstrip("/")
+        if by == "link":
+            hit = bool(bare) and bare in listed
+        else:
+            host = re.match(r"[^/:]*", bare)[0].lstrip("w.")
+            tried = [host, "www." + host] if host else []
+            if by == "base":
+                tried += [".".join(x.split(".")[-2:]) for x in tried if x.count(".") > 2]
+            hit = any(x in listed for x in tried)
+        return {"url": [(0, len(text), 1.0)]} if hit else {}
+
+    return predict
+
+
 def add_list_tagger(name: str, lines: Iterable[str], by: str = "link") -> None:
     """Registers a tagger: a span of the whole text if the document's url is on the list."""
-    listed = set()
-    for line in lines:
-        try:
-            listed.update(parse_line(line))
-        except ValueError:
-            continue
+    listed = {x for line in lines for x in _readable(line)}
     if not listed:
         raise ValueError(f"the list of {name} is empty")
 
     def make():
-        def predict(text, fields):
-            url = (fields.get("url") or "").strip().lower()
-            bare = re.sub(r"^[^/@]*@", "", re.sub(r"[?#].*$", "", re.sub(r"^(?:[a-z][a-z0-9+.-]*:)?//", "", url))).rstrip("/")
-            if by == "host":
-                host = re.match(r"[^/:]*", bare)[0].lstrip("w.")
-                hit = bool(host) and (host in listed or "www." + host in listed)
-            else:
-                hit = bool(bare) and bare in listed
-            return {"url": [(0, len(text), 1.0)]} if hit else {}
-
-        return predict
+        return _is_listed(listed, by)
 
     make.__doc__ = "Documents whose address is on a list."
     add_tagger(name, defaults=["url"], fields=["url"])(make)
 
 
 class AdFilter:
-    """Ad-filter rules: plain parts with * and ^, || for a host and its subdomains, | for an end, @@ for exceptions."""
+    """Ad-filter rules: plain parts with * and ^, || for a host and its subdomains, | for an end, @@ for exceptions.
+
+    Rules for a host are looked up by the hosts above that of a url, others by a word that a url must hold, so a url meets few of them.
+    """
 
     def __init__(self, rules: Iterable[str]):
-        self.block, self.allow = [], []
+        self.block, self.allow = ({}, {}), ({}, {})
         for rule in rules:
             rule = rule.strip()
             if not rule or rule[0] in "![" or "##" in rule or "#@#" in rule:
                 continue
-            to = self.allow if rule.startswith("@@") else self.block
-            to.append(self._compile(rule.removeprefix("@@").split("$")[0]))
+            by_host, by_word = self.allow if rule.startswith("@@") else self.block
+            rule = rule.removeprefix("@@").split("$")[0].lower()
+            pattern = self._compile(rule)
+            if m := re.match(r"\|\|([a-z0-9_-]+(?:\.[a-z0-9_-]+)+)(?=[/^:]|$)", rule):
+                by_host.setdefault(m[1], []).append(pattern)
+            else:
+                # a run of letters and digits that the rule has whole, the longest: none next to a wildcard or to an end without anchor
+                inner = re.findall(r"(?<![a-z0-9*])[a-z0-9]{2,}(?![a-z0-9*])", rule.strip("|") if rule.startswith("|") else "*" + rule + "*")
+                by_word.setdefault(max(inner, key=len, default=""), []).append(pattern)
 
     @staticmethod
     def _compile(rule: str) -> re.Pattern:
@@ -126,8 +146,20 @@ class AdFilter:
         body = "".join({"*": ".*", "^": r"(?:[^\w.%-]|$)"}.get(c, re.escape(c)) for c in rule)
         return re.compile(head + body + tail, re.IGNORECASE)
 
+    @staticmethod
+    def _hits(rules: tuple[dict, dict], url: str) -> bool:
+        by_host, by_word = rules
+        lower = url.lower()
+        if by_host and (m := re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", lower)):
+            labels = m[1].split(".")
+            for k in range(len(labels)):
+                if any(p.search(url) for p in by_host.get(".".join(labels[k:]), ())):
+                    return True
+        words = {"", *re.findall(r"[a-z0-9]{2,}", lower)}
+        return any(p.search(url) for w in words for p in by_word.get(w, ()))
+
     def blocks(self, url: str) -> bool:
-        return any(p.search(url) for p in self.block) and not any(p.search(url) for p in self.allow)
+        return self._hits(self.block, url) and not self._hits(self.allow, url)
 
 
 def add_ad_filter_tagger(name: str, rules: Iterable[str]) -> None:
@@ -140,3 +172,71 @@ def add_ad_filter_tagger(name: str, rules: Iterable[str]) -> None:
 
     make.__doc__ = "Documents whose address ad-filter rules block."
     add_tagger(name, defaults=["url"], fields=["url"])(make)
+
+
+#: Published block and allow lists by their taggers' names, and how an address is looked up: whole, by host, by host and its base, by ad-filter rules.
+PUBLISHED = {
+    "domain_blocklist_utp_v1": "host", "link_blocklist_phishing_v1": "link", "domain_blocklist_phishing_v1": "host",
+    **dict.fromkeys(["oisd_small_abp_v1", "oisd_big_abp_v1", "oisd_nsfw_abp_v1", "brave_core_abp_v1", "brave_nsfw_abp_v1"], "ads"),
+    **{f"blocklist_project_{x}_v1": "host" for x in ("nsfw", "social", "crime", "vice", "ads")},
+    **{f"blocklist_firebog_{x}_v1": "host" for x in ("ads", "crypto", "malicious", "nsfw", "social", "suspicious", "trackers")},
+    **{f"blocklist_hosts_{x}_v1": "host" for x in ("adware_malware", "fakenews", "gambling", "porn", "social")},
+    "allowlist_wikidata_v1": "base", "allowlist_wikidata_cleaned_v1": "base",
+}
+_PATHS: dict[str, list[str]] = {}
+#: What the description of an entry of the cleaned list may not hold.
+_UNCLEAN = re.compile(r"sex|adult|satire|gossip|tabloid|tracker|dating|porn|betting|casino|gambling|celebrity|joke|humor|comedy", re.IGNORECASE)
+
+
+def set_lists(paths: dict[str, list[str]]) -> None:
+    """Files of the lists of published taggers, by tagger; the workers must see them.  Call it before taggers are applied."""
+    if unknown := sorted(set(paths) - set(PUBLISHED)):
+        raise ValueError(f"no such lists: {', '.join(unknown)}")
+    _PATHS.update({k: list(v) for k, v in paths.items()})
+
+
+def _lines(name: str, paths: list[str]) -> Iterable[str]:
+    import gzip
+
+    for path in paths:
+        with (gzip.open if path.endswith(".gz") else open)(path, "rt", errors="replace") as f:
+            if path.endswith(".json"):
+                for row in json.load(f):
+                    if not (name.endswith("_cleaned_v1") and _UNCLEAN.search(f"{row.get('description') or ''}")):
+                        yield re.sub(r"^[^/@]*@", "", str(row.get("url") or ""))
+            else:
+                yield from f
+
+
+def _publish(name: str, by: str) -> None:
+    class Make:
+        """Documents whose address is on the published list of that name, read from the files that set_lists() gives."""
+
+        def __reduce__(self):
+            return _made, (name, by, _PATHS.get(name))
+
+        def __call__(self):
+            return _made(name, by, _PATHS.get(name))()
+
+    make = Make()
+    make.__doc__ = Make.__doc__
+    add_tagger(name, defaults=["url"], fields=["url"])(make)
+
+
+def _made(name: str, by: str, paths: list[str] | None):
+    def make():
+        if not paths:
+            raise ValueError(f"set_lists() gives no files for {name}")
+        if by == "ads":
+            its = AdFilter(_lines(name, paths))
+            return lambda text, fields: {"url": [(0, len(text), 1.0)]} if fields.get("url") and its.blocks(fields["url"]) else {}
+        listed = {x for line in _lines(name, paths) for x in _readable(line)}
+        if by != "link":
+            listed = {re.match(r"[^/:]*", x)[0].lstrip("w.") for x in listed} - {""}
+        return _is_listed(listed, by)
+
+    return make
+
+
+for _name, _by in PUBLISHED.items():
+    _publish(_name, _by)

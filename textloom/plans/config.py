@@ -76,7 +76,11 @@ def run_tag(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def run_dedupe(spark: SparkSession, config: dict) -> DataFrame:
-    """documents; dedupe {name, documents {key} | paragraphs {attribute_name, separator, by_ngram}, skip_empty, min_length, min_words}; destination."""
+    """documents; dedupe {name, documents {key} | paragraphs {attribute_name, separator, by_ngram}, skip_empty, min_length, min_words}; seeds {documents, key,
+    separator}, read_only; destination.
+
+    A decontamination gives the evaluation set as seeds and sets read_only: documents are then compared with the seeds alone.
+    """
     _need(config, "documents", "dedupe")
     how = config["dedupe"]
     if ("documents" in how) == ("paragraphs" in how):
@@ -86,10 +90,20 @@ def run_dedupe(spark: SparkSession, config: dict) -> DataFrame:
     if min(common.get("min_length", 0), common.get("min_words", 0)) < 0:
         raise ConfigError("lengths are 0 at least")
     order = ["source_file", "id"]
+    given = config.get("seeds", {})
+    if config.get("read_only") and not given:
+        raise ConfigError("read_only needs seeds")
+    if given:
+        _need(given, "documents")
+        key = given.get("key", how.get("documents", {}).get("key", "text")).removeprefix("$.")
+        seeds = corpus.read_documents(spark, given["documents"]).select(F.col(key).cast("string").alias("key"))
+        if "paragraphs" in how and not how["paragraphs"].get("by_ngram"):
+            seeds = seeds.select(F.explode(F.split("key", "\\Q" + how["paragraphs"].get("separator", "\n") + "\\E", -1)).alias("key"))
+        common |= {"seeds": seeds, "read_only": bool(config.get("read_only"))}
     if "documents" in how:
         found = dedupe.dedupe_documents(docs, key=how["documents"].get("key", "text").removeprefix("$."), order_by=order, **common)
     elif grams := how["paragraphs"].get("by_ngram"):
-        found = dedupe.dedupe_ngrams(docs, grams["ngram_length"], grams.get("stride", 0), grams.get("overlap_threshold", 1.0), grams.get("skip_short_paragraphs", False), order_by=order, separator=how["paragraphs"].get("separator", "\n"))
+        found = dedupe.dedupe_ngrams(docs, grams["ngram_length"], grams.get("stride", 0), grams.get("overlap_threshold", 1.0), grams.get("skip_short_paragraphs", False), order_by=order, separator=how["paragraphs"].get("separator", "\n"), **common)
     else:
         found = dedupe.dedupe_paragraphs(docs, order_by=order, separator=how["paragraphs"].get("separator", "\n"), **common)
     out = found.select("id", F.create_map(F.lit(how.get("name", "duplicates")), F.col("duplicates")).alias("attributes"))
