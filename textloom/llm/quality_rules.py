@@ -144,17 +144,25 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
     for head in range(_HEADS):
         for table in set(range(_TABLES)) - set(_READS[head]):
             ratio[head, table << BITS : (table + 1) << BITS] = 0
-    kept: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(_HEADS)]
+    # each row's features, numbered among those that the ratios leave, and their values
+    names = [np.flatnonzero(x) for x in ratio]
+    number = np.zeros(ratio.shape, np.int32)
+    for head in range(_HEADS):
+        number[head, names[head]] = np.arange(len(names[head]))
+    kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[(np.zeros(0, np.int32), np.zeros(0, np.float32))] * n for _ in range(_HEADS)]
     for r, at, count, many in _entries(texts):
         for head in range(_HEADS):
             use = np.flatnonzero(ratio[head][at])
-            kept[head].append((r[use].astype(np.int32), at[use].astype(np.int32), (count[use] / _norm(many[use], head) * ratio[head][at[use]]).astype(np.float32)))
+            row, feature = r[use], at[use]
+            value = (count[use] / _norm(many[use], head) * ratio[head][feature]).astype(np.float32)
+            feature = number[head][feature]
+            for k, x, y in zip(*(v.tolist() for v in _runs(row))):
+                kept[head][k] = feature[x:y].copy(), value[x:y].copy()
     bias = np.zeros(_HEADS)
     for head in range(_HEADS):
-        rows, at, value = (np.concatenate(x) for x in zip(*kept[head])) if kept[head] else (np.zeros(0, np.int64),) * 3
-        kept[head].clear()
-        w, bias[head] = _fit_head(rows, at, value, labels[:, head], np.flatnonzero(~held), epochs, np.random.default_rng(seed))
-        weights[head] = (w * ratio[head]).reshape(_TABLES, -1)
+        w, bias[head] = _fit_head(kept[head], len(names[head]), labels[:, head], np.flatnonzero(~held), epochs, np.random.default_rng(seed))
+        kept[head] = []
+        weights[head].reshape(-1)[names[head]] = w * ratio[head][names[head]]
     model = Model(weights, bias, np.ones(_HEADS), np.zeros(_HEADS))
     judge = held if held.any() else ~held  # three rows at most: there is none to hold out
     z = model.margins(texts.filter(pa.array(judge)))
@@ -162,9 +170,15 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 10, seed: int = 7)
     return model
 
 
+def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, begin, end) of the runs of equal values."""
+    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    return row[cuts], cuts, np.append(cuts[1:], len(row)) if len(row) else cuts
+
+
 def _entries(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
     """Row, feature, count and number of features of its group, for each feature of each row; rows ascend."""
-    for first, part in tb.chunks(texts, 1 << 20):
+    for first, part in tb.chunks(texts, 1 << 18):
         keys, counts, sizes = [], [], []
         for g, (bucket, lo, hi) in enumerate(_features(part)):
             many = hi - lo
@@ -188,10 +202,9 @@ def _log_ratio(up: np.ndarray, down: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((up + down >= 3) & (np.abs(ratio) > 0.1), ratio, 0).astype(np.float32)
 
 
-def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, fit: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+def _fit_head(rows: list[tuple[np.ndarray, np.ndarray]], features: int, y: np.ndarray, fit: np.ndarray, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Weights and intercept."""
-    begin = np.searchsorted(rows, np.arange(len(y) + 1))
-    w, square = np.zeros(_TABLES << BITS, np.float32), np.full(_TABLES << BITS, 1e-3, np.float32)
+    w, square = np.zeros(features, np.float32), np.full(features, 1e-3, np.float32)
     rate = np.clip(y[fit].mean(), 0.01, 0.99)
     bias = float(np.log(rate / (1 - rate)))
     epochs = max(epochs, -(-_STEPS // -(-max(len(fit), 1) // _BATCH)))
@@ -199,9 +212,9 @@ def _fit_head(rows: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray
         rng.shuffle(fit)
         for b in range(0, len(fit), _BATCH):
             docs = fit[b : b + _BATCH]
-            many = begin[docs + 1] - begin[docs]
-            inside = np.repeat(begin[docs], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            i, v, ends = at[inside], value[inside], np.cumsum(many)
+            i, v = (np.concatenate(x) for x in zip(*(rows[d] for d in docs)))
+            many = np.array([len(rows[d][0]) for d in docs])
+            ends = np.cumsum(many)
             err = (_sigmoid(tb.row_sums(w[i] * v, ends - many, ends) + bias) - y[docs]) / len(docs)
             bias -= 0.3 * float(err.sum())
             g = np.bincount(i, np.repeat(err, many) * v, len(w))
