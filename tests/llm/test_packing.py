@@ -97,3 +97,66 @@ def test_groups_are_packed_alike_whatever_the_partitions(spark, small):
     b = p.packing(docs.repartition(7), group_tokens=20_000)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.select("pack").distinct().count() > 3
+
+
+def plain_pack(lengths, tiers, step_tokens):
+    """The packing by plain loops over all windows and all segments."""
+    tiers = sorted(tiers)
+    pools = {t: [] for t in tiers}
+    for n, order in lengths:
+        for start in range(0, n, tiers[-1]):
+            size = min(n - start, tiers[-1])
+            pools[min(t for t in tiers if t >= size)].append((size, order, start))
+    made = []
+    for t in reversed(tiers):
+        windows = []
+        for s in sorted(pools[t], key=lambda s: (-s[0], s[1], s[2])):
+            fits = [w for w in windows if t - sum(x[0] for x in w) >= s[0]]
+            if fits:
+                min(fits, key=lambda w: (t - sum(x[0] for x in w), windows.index(w))).append(s)
+            else:
+                windows.append([s])
+        room = lambda w: t - sum(x[0] for x in w)
+        for w in sorted(windows, key=lambda w: (room(w), w[0][1], w[0][2])):
+            for u in [u for u in reversed(tiers) if u < t]:
+                while fits := [s for s in pools[u] if s[0] <= room(w)]:
+                    s = min(fits, key=lambda s: (-s[0], s[1], s[2]))
+                    pools[u].remove(s)
+                    w.append(s)
+        made += [(t, w) for w in windows]
+    many = -(-sum(t for t, _ in made) // max(step_tokens, max((t for t, _ in made), default=1)))
+    steps = [[0, max(step_tokens, max((t for t, _ in made), default=1))] for _ in range(many)]
+    full, of = max(step_tokens, max((t for t, _ in made), default=1)), {}
+    for i in sorted(range(len(made)), key=lambda i: (-made[i][0], -p.cost(made[i][1]), i)):
+        t, w = made[i]
+        fits = [k for k, (_, left) in enumerate(steps) if left >= t]
+        if not fits:
+            steps.append([0, full])
+            fits = [len(steps) - 1]
+        k = min(fits, key=lambda k: (steps[k][0], k))
+        steps[k][0] += p.cost(w)
+        steps[k][1] -= t
+        of[i] = k
+    return [(of[i], t, i, place, order, start, n) for i, (t, w) in enumerate(made) for place, (n, order, start) in enumerate(w)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_against_plain_loops(seed):
+    rng = random.Random(50 + seed)
+    # many ties: few lengths
+    lengths = [(rng.choice([1, 2, 15, 16, 17, 40, 64, 65, 200, 256, 257, 1000] if seed % 2 else range(1, 400)), i) for i in range(rng.choice([0, 1, 30, 150]))]
+    assert sorted(p.pack(lengths, TIERS, 512)) == sorted(plain_pack(lengths, TIERS, 512))
+
+
+def test_several_groups_fill_about_as_well_as_one(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(int(rng.lognormvariate(6, 1.2)) + 1))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fill = []
+    for group in (1 << 40, 1 << 18):
+        out = p.packing(docs, group_tokens=group).toPandas()
+        windows = out.drop_duplicates(["pack", "window"])
+        fill.append(out.n_tokens.sum() / windows.tier.sum())
+        assert out.groupby("doc_id").n_tokens.sum().shape[0] == 1500
+    # what packing in groups of eight long windows loses
+    assert fill[0] > 0.99 and fill[1] > fill[0] - 0.02, fill
