@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import json
 import zlib
 
@@ -115,3 +116,37 @@ def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, GOOD, "a", 1), (1, GOOD, "a", 1), (None, GOOD, "b", 2)], "doc_id long, text string, shown string, start int")
     rows = [tuple(r) for r in s.secret_scan(df).collect()]
     assert len(rows) == 3 and rows[0] == rows[1] and {r[0] for r in rows} == {1, None}
+
+
+def places(text):
+    return sorted(x[:4] for x in s.Scanner().scan(text))
+
+
+def test_nothing_is_lost_in_or_behind_long_values_and_names():
+    import random
+
+    fill = "".join(random.Random(2).choices("abcdefghij0123456789", k=5000))
+    for text, found in (
+        (f"token={fill}password=abcd1234efgh end", 2),
+        (f"é token={fill}é.secret:{fill[:30]}é;", 2),
+        (f'token={fill}.password = "abcd1234efgh" end', 2),
+        ("token=a1b2c3d4" * 400, 400),
+        ("secret_" + "x" * 300 + "=abcd1234efgh", 1),
+        ("-----BEGIN A B C D E PRIVATE KEY-----", 1),
+        (f"SG.{fill[:40]}.{fill[:90]}", 1),
+    ):
+        assert len(places(text)) == found, text[:40]
+        if len(text) < 7000:
+            assert places(text) == brute(text), text[:40]
+    values = [f"{fill}password=abcd1234efgh", "abcd1234efgh"]
+    assert [x[4:] for x in s.Scanner().scan("token=" + values[0])] == [(v[:4] + "*" * (min(len(v), 20) - 4), hashlib.sha256(v.encode()).hexdigest()[:16]) for v in values]
+
+
+def test_random_names_signs_and_values():
+    import random
+
+    rng = random.Random(3)
+    parts = ["token", "secret", "Api_Key", "private-key", "=", ":", "=>", ":=", '"', "'", "`", " ", "\t", ",", ".", "-", "é", "😊", "a1b2c3d", "abcd1234", "x", "7", "://", "@", "eyJ", "sk-"]
+    for _ in range(1500):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        assert places(text) == brute(text), text

@@ -21,9 +21,9 @@ from .common import col
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Least entropy in bits a character of a value that only its name makes a secret.
 LEAST_ENTROPY = 2.5
-#: Characters of an assigned value beyond which names within it aren't looked at: it is reported whole, and time stays linear.
-_LONG = 4096
 SCHEMA = "doc_id long, rule string, start long, stop long, checksum string, shown string, digest string"
+#: Bytes of UTF-8 that continue a character.
+_CONTINUE = bytes(range(0x80, 0xC0))
 _ARROW = pa.schema([("doc_id", pa.int64()), ("rule", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("checksum", pa.string()), ("shown", pa.string()), ("digest", pa.string())])
 
 
@@ -83,11 +83,49 @@ class Rule:
         self.pattern = re.compile(pattern, re.ASCII)
 
 
+class Assignment(Rule):
+    """A name with one of the keywords in it, a sign and a value, which ``names`` and three expressions make up.
+
+    A value may hold names with values of their own, which end where it ends.  ``find`` has what ``pattern`` matches at the
+    keywords, but reads a name's rest once for all keywords in it, and a value once for all that end with it.
+    """
+
+    REST = r"[\w.-]*+"
+    SIGN = r"[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+(?P<q>[\"'`]?)"
+    VALUE = r"[^\s\"'`,;]"
+
+    def __init__(self, name: str, keywords: list[str], names: str):
+        super().__init__(name, keywords, names + self.REST + self.SIGN + f"(?P<s>{self.VALUE}{{8,}}+)(?P=q)", entropy=True)
+        self.rest, self.value = re.compile(self.REST, re.ASCII), re.compile(self.VALUE + "*+", re.ASCII)
+        self.sign = re.compile(f"{self.SIGN}(?={self.VALUE}{{8}})", re.ASCII)
+
+    def find(self, flat: str, places: list[int]) -> Iterator[tuple[int, int]]:
+        """Where values begin and end, of the names with keywords at ``places``, which are ordered by the keywords' ends."""
+        starts: dict[int, list[int]] = {}
+        rest = stop = 0
+        for at in places:
+            if at < rest:  # a keyword in the name before
+                continue
+            rest = self.rest.match(flat, at).end()
+            if m := self.sign.match(flat, rest):
+                if m.end() >= stop:
+                    stop = self.value.match(flat, m.end()).end()
+                if flat.startswith(m["q"], stop):
+                    starts.setdefault(stop, []).append(m.end())
+        for stop, its in starts.items():
+            counts, read = Counter(), stop
+            for start in reversed(its):
+                counts.update(flat[start:read])
+                read = start
+                if random_enough(counts):
+                    yield start, stop
+
+
 _EDGE, _END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _NAMES = ["password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "accesskey", "access-key", "private_key", "private-key"]
 _NAME = r"(?i:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]key)"
 
-#: Names' rests after the keyword have 64 characters at most; secrets are taken to their ends, whatever their length.
+#: Names and secrets are taken to their ends, whatever their length; only what a provider issues in one length has that length here.
 #: Each expression begins with the rule's keyword; the group ``s`` is the secret.
 RULES = [
     Rule("aws-access-key", ["akia", "asia"], _EDGE + r"(?P<s>(?:AKIA|ASIA)[A-Z2-7]{16})" + _END, _account),
@@ -99,10 +137,10 @@ RULES = [
     Rule("google-key", ["aiza"], _EDGE + r"(?P<s>AIza[0-9A-Za-z_-]{35})" + _END),
     Rule("json-web-token", ["eyj"], _EDGE + r"(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{8,}+)", _jwt),
     Rule("azure-key", ["accountkey="], r"(?i:AccountKey)=(?P<s>[A-Za-z0-9+/]{86}==)", _key64),
-    Rule("private-key", ["-----begin "], r"(?P<s>-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)"),
+    Rule("private-key", ["-----begin "], r"(?P<s>-----BEGIN (?:[A-Z]++ )*?PRIVATE KEY(?: BLOCK)?-----)"),
     Rule("github-fine-token", ["github_pat_"], _EDGE + r"(?P<s>github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59})" + _END),
     Rule("pypi-token", ["pypi-"], _EDGE + r"(?P<s>pypi-[A-Za-z0-9_-]{16,}+)"),
-    Rule("sendgrid-key", ["sg."], _EDGE + r"(?P<s>SG\.[A-Za-z0-9_-]{16,32}\.[A-Za-z0-9_-]{16,64}+)" + _END),
+    Rule("sendgrid-key", ["sg."], _EDGE + r"(?P<s>SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}+)" + _END),
     Rule("slack-webhook", ["hooks.slack.com/"], r"(?P<s>hooks\.slack\.com/(?:services|workflows)/[A-Za-z0-9_/]{20,}+)"),
     Rule("slack-app-token", ["xapp-"], _EDGE + r"(?P<s>xapp-[0-9A-Za-z-]{20,}+)" + _END),
     Rule("discord-webhook", ["discord.com/api/webhooks/", "discordapp.com/api/webhooks/"], r"(?P<s>discord(?:app)?\.com/api/webhooks/[0-9]{15,20}/[A-Za-z0-9_-]{60,}+)"),
@@ -117,17 +155,25 @@ RULES = [
     Rule("mailgun-key", ["key-"], _EDGE + r"(?P<s>key-[0-9a-f]{32})" + _END),
     Rule("age-key", ["age-secret-key-1"], _EDGE + r"(?P<s>AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58})" + _END, _bech32),
     Rule("url-password", ["://"], r"://[^\s:/?#@\"'<>]*+:(?P<s>[^\s/?#@\"'<>]{3,}+)@[A-Za-z0-9\[]"),
-    Rule("assignment", _NAMES, _NAME + r"[\w.-]{0,64}+[\"']?[ \t]*+(?:=>|:=|=|:)[ \t]*+(?P<q>[\"'`]?)(?P<s>[^\s\"'`,;]{8,}+)(?P=q)", entropy=True),
+    Assignment("assignment", _NAMES, _NAME),
 ]
 
 
-def entropy(text: str) -> float:
-    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+def entropy(text: str | Counter) -> float:
+    """Bits a character, of a text or its characters' counts in whatever order."""
+    counts = Counter(text)
+    size = counts.total()
+    return -math.fsum(n / size * math.log2(n / size) for n in counts.values())
+
+
+def random_enough(counts: Counter) -> bool:
+    """Whether a value of these characters holds digits and letters and enough entropy."""
+    return any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts) and entropy(counts) >= LEAST_ENTROPY
 
 
 def accept(rule: Rule, secret: str) -> str | None:
     """The checksum's verdict, "none" for formats without, or None if the match is no secret."""
-    if rule.entropy and (entropy(secret) < LEAST_ENTROPY or not (any(c.isdigit() for c in secret) and any(c.isalpha() for c in secret))):
+    if rule.entropy and not random_enough(Counter(secret)):
         return None
     if rule.check is None:
         return "none"
@@ -154,24 +200,29 @@ class Scanner:
         if not self.some:
             return []
         raw = text.encode("utf-8", "surrogatepass")
-        flat, found, inside = None, {}, 0
+        flat, found, named = None, {}, {}
         for last, (size, rules) in self.automaton.iter(raw.lower().decode("latin-1")):  # bytes.lower() keeps every offset
             if flat is None:
                 flat = raw.decode("latin-1")
             at = last - size + 1
             for rule in rules:
-                if rule.entropy and at < inside:
+                if isinstance(rule, Assignment):
+                    named.setdefault(rule, []).append(at)
                     continue
                 m = rule.pattern.match(flat, at)
                 if m and (verdict := accept(rule, m["s"])):
-                    found[(m.start("s"), m.end("s"), rule.name)] = (verdict, m["s"])
-                    if rule.entropy and m.end("s") - m.start("s") > _LONG:
-                        inside = m.end("s")
-        out = []
-        for (a, b, name), (verdict, secret) in sorted(found.items()):
-            start = len(raw[:a].decode("utf-8", "surrogatepass")) if len(raw) != len(text) else a
-            shown = secret[:4] + "*" * (min(len(secret), 20) - 4)
-            out.append((name, start, start + len(raw[a:b].decode("utf-8", "replace")), verdict, shown, hashlib.sha256(raw[a:b]).hexdigest()[:16]))
+                    found[(*m.span("s"), rule.name)] = verdict
+        for rule, places in named.items():
+            found |= {(*span, rule.name): "none" for span in rule.find(flat, places)}
+        number, read, n = {}, 0, 0  # of characters before each place
+        for at in sorted({at for key in found for at in key[:2]}):
+            n += len(raw[read:at].translate(None, _CONTINUE)) if len(raw) != len(text) else at - read
+            read = at
+            number[at] = n
+        out, view = [], memoryview(raw)
+        for (a, b, name), verdict in sorted(found.items()):
+            shown = flat[a : min(a + 4, b)] + "*" * (min(b - a, 20) - 4)
+            out.append((name, number[a], number[b], verdict, shown, hashlib.sha256(view[a:b]).hexdigest()[:16]))
         return out
 
 
@@ -185,8 +236,9 @@ def secret_scan(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_i
     repeated in the result: ``shown`` is their beginning, ``digest`` the start of their SHA-256.
 
     Edge cases: null and empty texts hold nothing.  A secret that two keywords of a rule lead to is reported once, each
-    place of a repeated secret by itself, one that two rules match once for each.  Assignments inside an assigned value of over 4,096
-    characters are part of it.  Rows with null or repeated ids are scanned like any other.  Texts are read whole, however long.  start and stop
+    place of a repeated secret by itself, one that two rules match once for each.  Assignments inside an assigned value are
+    reported like any other, however long it is; as each digest is of a whole value, those within one another take time by the
+    sum of their lengths.  Rows with null or repeated ids are scanned like any other.  Texts are read whole, however long.  start and stop
     count characters, from 0.  No rows give no rows.  Other columns aren't read.
     """
 
