@@ -189,6 +189,33 @@ def test_paragraph_spans_slice_the_text(spark):
     assert cut[1] == "\nother\n" and cut[0] == texts[0] and cut[3] is None
 
 
+@pytest.mark.parametrize("query", [dedupe.dedupe_documents, dedupe.dedupe_paragraphs])
+def test_dedupe_whatever_the_order_of_rows_in_each_run(spark, query):
+    # rows come in another order each time that the plan is run, as they do after a shuffle on several executors
+    rows = [(i, f"the same\nof {i % 7}") for i in range(60)]
+
+    def turn(batches):
+        import random as r
+
+        for b in batches:
+            yield b.take(r.SystemRandom().sample(range(b.num_rows), b.num_rows))
+
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1).mapInArrow(turn, "id long, text string")
+    got = {r["id"]: len(r["duplicates"]) for r in query(docs).collect()}
+    if query is dedupe.dedupe_documents:
+        assert got == {i: int(i >= 7) for i in range(60)}
+    else:
+        assert got == {i: (i > 0) + (i >= 7) for i in range(60)}
+
+
+def test_dedupe_keeps_one_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (1, "a\nb"), (1, "c"), (2, "a"), (None, "c")], "id long, text string")
+    got = sorted((str(r["id"]), len(r["duplicates"])) for r in dedupe.dedupe_documents(docs).collect())
+    assert got == [("1", 0), ("1", 0), ("1", 1), ("2", 0), ("None", 1)]
+    got = sorted((str(r["id"]), [tuple(s)[:2] for s in r["duplicates"]]) for r in dedupe.dedupe_paragraphs(docs).collect())
+    assert got == [("1", []), ("1", []), ("1", [(0, 1), (2, 3)]), ("2", [(0, 1)]), ("None", [(0, 1)])]
+
+
 def brute_ngrams(texts, n, stride, threshold, skip_short):
     seen, out = set(), {}
     for i, text in enumerate(texts):

@@ -28,18 +28,20 @@ def _hash(text: Column) -> Column:
 
 
 def _repeats(rows: DataFrame, order: list[str], seeds: DataFrame | None, read_only: bool) -> DataFrame:
-    """rows with repeat: whether an earlier row, or a seed (k), has its key k; rows without a key never do.
+    """rows with repeat: whether an earlier row, or a seed (k), has its key k, and head: whether it is the first of several; rows without a key are
+    neither.  Rows that are equal in all of ``order`` come first together.
 
     The first row of each key comes from an aggregation, which combines before its shuffle; keys that occur once go no further.  Rows then
     meet the keys that occur several times in a plain join, which the engine may broadcast or split where a key is hot.  Rows without a key have
-    one of their own there, so that they don't come together.
+    one of their own there, so that they don't come together.  rows are computed once for each of the two, so order must not hold what another
+    run may change, such as numbers given after a shuffle.
     """
-    own = F.coalesce("k", F.encode(F.col("_row").cast("string"), "utf-8"))
-    rows = rows.withColumn("repeat", F.lit(False)).withColumn("_k", own)
+    own = F.coalesce("k", F.encode(F.xxhash64(*order).cast("string"), "utf-8"))
+    rows = rows.withColumn("repeat", F.lit(False)).withColumn("head", F.lit(False)).withColumn("_k", own)
     if not read_only:
         place = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c))])
         first = rows.where("k IS NOT NULL").groupBy(F.col("k").alias("_k")).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        rows = rows.drop("repeat").join(first, "_k", "left").withColumn("repeat", F.coalesce(place != F.col("_first"), F.lit(False))).drop("_first")
+        rows = rows.drop("repeat", "head").join(first, "_k", "left").withColumn("repeat", F.coalesce(place != F.col("_first"), F.lit(False))).withColumn("head", F.coalesce(place == F.col("_first"), F.lit(False))).drop("_first")
     if seeds is not None:
         known = seeds.select(F.col("k").alias("_k")).where("_k IS NOT NULL").distinct().withColumn("_known", F.lit(True))
         rows = rows.join(known, "_k", "left").withColumn("repeat", F.col("repeat") | F.coalesce("_known", F.lit(False))).drop("_known")
@@ -50,14 +52,18 @@ def dedupe_documents(docs: DataFrame, key: str = "text", id_col: str = "id", ord
     """(id, duplicates) of every document: one span of the key's bytes if an earlier document, or one of ``seeds`` (key), has the key.
 
     Keys under ``min_length`` bytes or ``min_words`` words, and with ``skip_empty`` blank ones, are never duplicates.  ``read_only``
-    compares with the seeds alone.  Documents that tie in order come as the table has them.  Hashes of 128 bits are shuffled, never keys.
+    compares with the seeds alone.  Documents that tie in order come by their ids; of those that share id and key too, one is the first.
+    Hashes of 128 bits are shuffled, never keys.
     """
     value = docs[key].cast("string")
     order = [f"o{i}" for i in range(len(order_by or [id_col]))]
-    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), F.octet_length(value).alias("size"), F.when(_long_enough(value, min_length, min_words, skip_empty, True), _hash(value)).alias("k"))
-    rows = _repeats(rows, [*order, "_row"], seeds and seeds.select(_hash(F.col(seeds.columns[0]).cast("string")).alias("k")), read_only)
+    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.octet_length(value).alias("size"), F.when(_long_enough(value, min_length, min_words, skip_empty, True), _hash(value)).alias("k"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    rows = _repeats(rows, [*order, "id"], seeds and seeds.select(_hash(F.col(seeds.columns[0]).cast("string")).alias("k")), read_only)
     span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"), F.lit(1.0).alias("score")))
-    return rows.select("id", F.when(F.col("repeat"), span).otherwise(F.array().cast(SPANS)).alias("duplicates"))
+    again = F.col("repeat") | ((F.col("copy") > 1) & F.col("k").isNotNull() & F.lit(not read_only))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return rows.select("id", F.when(again, span).otherwise(F.array().cast(SPANS)).alias("duplicates"))
 
 
 _PART = "array<struct<start:bigint,end:bigint,k:binary>>"
@@ -89,20 +95,32 @@ def _cut_paragraphs(separator: str, min_length: int, min_words: int, skip_empty:
 def dedupe_paragraphs(docs: DataFrame, text_col: str = "text", id_col: str = "id", order_by: list[str] | None = None, separator: str = "\n", min_length: int = 0, min_words: int = 0, skip_empty: bool = False, seeds: DataFrame | None = None, read_only: bool = False) -> DataFrame:
     """(id, duplicates) of every document: spans of its paragraphs that occurred before, in it or in an earlier document or a seed.
 
-    Each text is cut and hashed where it is read; places and hashes alone are shuffled.
+    Each text is cut and hashed where it is read; places and hashes alone are shuffled.  Documents that tie in order come by their ids, those
+    that share an id by the hash of their text, and of equal ones one is the first.
     """
-    order = [f"o{i}" for i in range(len(order_by or [id_col]))]
+    own = _own(docs, text_col, id_col, order_by)
+    names = [f"u{i}" for i in range(len(own))]
     cut = _cut_paragraphs(separator, min_length, min_words, skip_empty)
-    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), cut(docs[text_col]).alias("parts"))
-    rows = rows.select("id", *order, "_row", F.posexplode("parts").alias("pos", "p")).select("id", *order, "_row", "pos", "p.*").where("k IS NOT NULL")
-    some = _repeats(rows, [*order, "_row", "pos"], seeds and seeds.select(_hash(F.col(seeds.columns[0])).alias("k")), read_only)
-    found = some.where("repeat").select("id", F.struct("start", "end", F.lit(1.0).alias("score")).alias("span"))
-    return _collect(docs, id_col, found)
+    rows = docs.select(*own, cut(docs[text_col]).alias("parts")).select(*names, F.posexplode("parts").alias("pos", "p")).select(*names, "pos", "p.*").where("k IS NOT NULL")
+    some = _repeats(rows, [*names, "pos"], seeds and seeds.select(_hash(F.col(seeds.columns[0])).alias("k")), read_only)
+    span = F.struct("start", "end", F.lit(1.0).alias("score"))
+    return _collect(docs.select(*own), some.where("repeat OR head").select(*names, F.when(F.col("repeat"), span).alias("span"), span.alias("later")))
+
 
+def _own(docs: DataFrame, text_col: str, id_col: str, order_by: list[str] | None) -> list[Column]:
+    """What places a document and tells it apart: u0 and so on, by which it is ordered, then its id, then the hash of its text."""
+    return [c.alias(f"u{i}") for i, c in enumerate([*(docs[c] for c in order_by or []), docs[id_col], F.xxhash64(docs[text_col])])]
 
-def _collect(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
-    its = found.groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("duplicates"))
-    return docs.select(docs[id_col].alias("id")).join(its, "id", "left").select("id", F.coalesce("duplicates", F.array().cast(SPANS)).alias("duplicates"))
+
+def _collect(own: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, duplicates) of every row of own, with the spans of the rows of found that are like it; the second and later ones of equal rows have the
+    spans ``later``."""
+    names = own.columns
+    kind = found.schema["later"].dataType
+    rows = own.select("*", F.lit(None).cast(kind).alias("span"), F.lit(None).cast(kind).alias("later"), F.lit(1).cast("long").alias("n")).unionByName(found.withColumn("n", F.lit(0).cast("long")))
+    its = rows.groupBy(*names).agg(F.sum("n").alias("n"), *[F.sort_array(F.array_distinct(F.collect_list(c))).cast(SPANS).alias(c) for c in ("span", "later")])
+    its = its.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return its.select(F.col(names[-2]).alias("id"), F.when(F.col("copy") > 1, F.col("later")).otherwise(F.col("span")).alias("duplicates"))
 
 
 def visited(n: int, stride: int) -> list[int]:
@@ -130,7 +148,8 @@ def dedupe_ngrams(docs: DataFrame, ngram_length: int, stride: int = 0, threshold
     or ``min_words`` words, and with ``skip_empty`` blank ones, are left out.  Occurrences are
     ordered by document, paragraph and place; the n-grams of seeds (text) all came before.
     """
-    order = [f"o{i}" for i in range(len(order_by or [id_col]))]
+    own = _own(docs, text_col, id_col, order_by)
+    names = [f"u{i}" for i in range(len(own))]
 
     def cut(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("grams", pa.list_(pa.binary()))]))
@@ -148,14 +167,13 @@ def dedupe_ngrams(docs: DataFrame, ngram_length: int, stride: int = 0, threshold
 
     cut.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     cut = F.arrow_udf(cut, "array<struct<start:bigint,end:bigint,grams:array<binary>>>").asNondeterministic()
-    rows = docs.select(docs[id_col].alias("id"), *[docs[c].alias(o) for o, c in zip(order, order_by or [id_col])], F.monotonically_increasing_id().alias("_row"), cut(docs[text_col]).alias("parts"))
-    rows = rows.select("id", *order, "_row", F.posexplode("parts").alias("pos", "p")).select("id", *order, "_row", "pos", "p.start", "p.end", F.posexplode("p.grams").alias("at", "k"))
+    rows = docs.select(*own, cut(docs[text_col]).alias("parts")).select(*names, F.posexplode("parts").alias("pos", "p")).select(*names, "pos", "p.start", "p.end", F.posexplode("p.grams").alias("at", "k"))
     if seeds is not None:
         seeds = seeds.select(F.explode(cut(F.col(seeds.columns[0]))).alias("p")).select(F.explode("p.grams").alias("k"))
-    rows = _repeats(rows, [*order, "_row", "pos", "at"], seeds, read_only)
-    share = rows.groupBy("id", "_row", "pos", "start", "end").agg((F.sum(F.col("repeat").cast("int")) / F.count("*")).cast("float").alias("score"))
-    found = share.where((F.col("score") >= F.lit(threshold).cast("float")) & (F.col("score") > 0)).select("id", F.struct("start", "end", F.col("score").cast("double").alias("score")).alias("span"))
-    return _collect(docs, id_col, found)
+    rows = _repeats(rows, [*names, "pos", "at"], seeds, read_only)
+    share = rows.groupBy(*names, "pos", "start", "end").agg((F.sum(F.col("repeat").cast("int")) / F.count("*")).cast("float").alias("score"))
+    found = share.where((F.col("score") >= F.lit(threshold).cast("float")) & (F.col("score") > 0)).select(*names, F.struct("start", "end", F.col("score").cast("double").alias("score")).alias("span"))
+    return _collect(docs.select(*own), found.withColumn("later", F.col("span")))
 
 
 def bloom_size(expected: int, false_positive_rate: float, least_bytes: int = 1 << 20) -> tuple[int, int]:
