@@ -561,6 +561,26 @@ def test_published_lists(spark, tmp_path):
         assert AdFilter(rules).blocks(url) == want, url
 
 
+def test_repetitions_are_those_of_the_expression_in_little_time():
+    import time
+
+    from textloom.operators.repetitions import REPEATED, repeated
+
+    rng = random.Random(5)
+    for _ in range(600):
+        letters = rng.choice(["ab", "ab ", "abc \n", "abcdefgh \n\t\u2028", "é😊a"])
+        text = ""
+        for _ in range(rng.randint(1, 5)):
+            group = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+            for _ in range(rng.randint(1, 6)):
+                text += group + rng.choice(["", "", "", " ", "\n", "x"])
+        assert [m.span() for m in repeated(text)] == [m.span() for m in REPEATED.finditer(text)], text
+    line = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(100_000)) + "abcdefghijklmnop" * 4
+    began = time.process_time()
+    assert predict("repetitions_v1", line)["repetition"] == [(100_000, 100_064, 4)]
+    assert time.process_time() - began < 20  # the expression alone takes minutes
+
+
 def test_dedupe_of_a_hot_key_has_no_window(spark):
     rows = [(i, "the same" if i % 10 else f"own {i}") for i in range(400)] + [(900, None), (901, None)]
     docs = spark.createDataFrame(rows, "id long, text string").repartition(8)

@@ -12,6 +12,7 @@ import numpy as np
 import regex
 
 from .registry import Spans, add_tagger
+from .repetitions import repeated
 
 _EDGE = r".\s@,?!;:)("
 _OCTET = r"(?:2(?:5[0-5]|[0-4]\d)|[01]?\d{1,2})"
@@ -349,9 +350,6 @@ def pii_fast():
     return predict
 
 
-_REPEATED = re.compile(r"(.+?)(?:\s?\1){3,}")
-
-
 def _repetition_stats(spans: list, text: str) -> Spans:
     most = max((s for *_, s in spans), default=0.0)
     longest = max((b - a for a, b, _ in spans), default=0)
@@ -361,7 +359,7 @@ def _repetition_stats(spans: list, text: str) -> Spans:
 
 
 def _char_repetitions(text: str) -> list[tuple[int, int, float]]:
-    return [(m.start(), m.end(), m[0].count(m[1])) for m in _REPEATED.finditer(text)]
+    return [(m.start(), m.end(), m[0].count(m[1])) for m in repeated(text)]
 
 
 @add_tagger("repetitions_v1")
