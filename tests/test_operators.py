@@ -241,6 +241,23 @@ def test_ngrams_against_plain_loops(spark, n, stride, threshold, skip):
     assert got == brute_ngrams(texts, n, stride, threshold, skip)
 
 
+def test_ngrams_of_equal_rows_seeds_and_long_orders(spark):
+    docs = spark.createDataFrame([(1, "b", "p q r s\nx"), (1, "b", "p q r s\nx"), (2, "a", "p q r s"), (3, None, "p q")], "id long, key string, text string").repartition(3)
+    spans = lambda df: sorted((r["id"], [tuple(s) for s in r["duplicates"]]) for r in df.collect())
+    whole = [(0, 7, 1.0), (8, 9, 1.0)]
+    assert spans(dedupe.dedupe_ngrams(docs, 2, 1, 0.5)) == [(1, []), (1, whole), (2, [(0, 7, 1.0)]), (3, [(0, 3, 1.0)])]
+    assert spans(dedupe.dedupe_ngrams(docs, 2, 1, 0.5, order_by=["key"])) == [(1, [(0, 7, 1.0)]), (1, whole), (2, []), (3, [(0, 3, 1.0)])]
+    seeds = spark.createDataFrame([("q r",), ("x",)], "k string")
+    some = [(0, 7, float(np.float32(1 / 3))), (8, 9, 1.0)]
+    assert spans(dedupe.dedupe_ngrams(docs, 2, 1, 0.3, seeds=seeds, read_only=True)) == [(1, some), (1, some), (2, some[:1]), (3, [])]
+    assert spans(dedupe.dedupe_ngrams(docs, 2, 1, 0.3, seeds=seeds)) == [(1, some), (1, whole), (2, [(0, 7, 1.0)]), (3, [(0, 3, 1.0)])]
+
+
+def test_ngrams_are_shuffled_packed(spark):
+    plan = dedupe.dedupe_ngrams(docs_of(spark, ["a b c"]), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan.split("FlatMapGroupsInArrow", 1)[1] and "Join" not in plan
+
+
 def test_visited_and_bloom():
     assert dedupe.visited(11, 3) == [0, 1, 4, 7, 10] and dedupe.visited(0, 1) == [] and dedupe.visited(3, 0) == [0, 1, 2]
     size, hashes = dedupe.bloom_size(1_000_000, 0.01)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SPANS, split_words, strip
 
@@ -141,39 +145,198 @@ def paragraph_ngrams(text: str, length: int, stride: int, separator: str = "\n")
     return out
 
 
+#: Groups by hash, in each of which repeats are looked for by themselves; characters of the texts that are cut together.
+_GROUPS, _CHUNK = 1024, 1 << 23
+_KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
+
+
+def _digests(texts: list[str]) -> np.ndarray:
+    """Two numbers of 64 bits for each text."""
+    return np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts), np.uint64).reshape(-1, 2)
+
+
+def _hashed_grams(texts: list[str | None], length: int, stride: int, separator: str, skip_short: bool, compared):
+    """(document, number, start, end, n-grams) of each paragraph as arrays, and the hashes of all n-grams in order.
+
+    An n-gram's hash comes from those of its words; a whole paragraph that reads like an n-gram has the n-gram's.
+    """
+    from .python_taggers import word_segments
+
+    numbers: dict[str, int] = {}
+    words: list[int] = []
+    firsts: list[np.ndarray] = []  # of each n-gram, its first word among all
+    parts, bodies, places, total = [], [], [], 0
+    later = np.arange(0)
+    for d, text in enumerate(texts):
+        at = 0
+        for k, body in enumerate((text or "").split(separator)):
+            many = 0
+            if compared(body):
+                its = word_segments(body)
+                n = len(its) - length + 1
+                many = 1 + len(range(1, n, max(stride, 1))) if n > 0 else 0
+                if many < 2:
+                    its, many = body.split(" "), 0 if skip_short or not body else 1
+                    if many and not (len(its) == length and all(its)):
+                        bodies.append(body)
+                        places.append(total)
+                        its = [""] * length
+                if many:
+                    if len(later) < many:
+                        later = np.concatenate([[0], np.arange(1, 2 * many * max(stride, 1) + 1, max(stride, 1))])
+                    firsts.append(later[:many] + len(words))
+                    words += [numbers.setdefault(w, len(numbers)) for w in its]
+            parts.append((d, k, at, at + len(body), many))
+            total += many
+            at += len(body) + 1
+    keys = np.zeros(total, _KEY)
+    if total:
+        hashes, its, at = _digests(list(numbers)), np.array(words), np.concatenate(firsts)
+        two = np.zeros((total, 2), np.uint64)
+        for k in range(length):
+            two += hashes[its[at + k]] * np.array([pow(m, 2 * k + 1, 1 << 64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], np.uint64)
+        if bodies:
+            two[places] = _digests(bodies)
+        two ^= two >> np.uint64(32)
+        two *= np.uint64(0xD6E8FEB86659FD93)
+        keys["a"], keys["b"] = two[:, 0], two[:, 1] >> np.uint64(32)
+    return np.array(parts, np.int64).reshape(-1, 5), keys
+
+
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, whether a key is another than the one before it): places sorted by key, those of equal keys as they come."""
+    by = np.argsort(keys["a"], kind="stable")
+    a, b = keys["a"][by], keys["b"][by]
+    new = np.ones(len(by), bool)
+    new[1:] = a[1:] != a[:-1]
+    if (b[1:] != b[:-1])[~new[1:]].any():  # keys that half their bits tell apart
+        by = np.lexsort((keys["b"], keys["a"]))
+        a, b = keys["a"][by], keys["b"][by]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return by, new
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+
+
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], ends]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _in_order(table: pa.Table, names: list[str]) -> np.ndarray:
+    return pc.sort_indices(table, sort_keys=[(n, "ascending") for n in names], null_placement="at_end").to_numpy()
+
+
 def dedupe_ngrams(docs: DataFrame, ngram_length: int, stride: int = 0, threshold: float = 1.0, skip_short: bool = False, min_length: int = 0, min_words: int = 0, skip_empty: bool = False, text_col: str = "text", id_col: str = "id", order_by: list[str] | None = None, separator: str = "\n", seeds: DataFrame | None = None, read_only: bool = False) -> DataFrame:
     """(id, duplicates) of every document: paragraphs of whose n-grams at least the share ``threshold`` occurred before.
 
     A paragraph of fewer than two n-grams counts as one n-gram, its whole text, unless ``skip_short``.  Paragraphs under ``min_length`` characters
     or ``min_words`` words, and with ``skip_empty`` blank ones, are left out.  Occurrences are
-    ordered by document, paragraph and place; the n-grams of seeds (text) all came before.
+    ordered by document, paragraph and place; the n-grams of seeds (text) all came before.  Documents that tie in order come as in dedupe_paragraphs.
+
+    Of each n-gram of a chunk of documents the first occurrence alone is shuffled, as a hash of 96 bits with its place, packed with others of its
+    group; the rest are repeats already.  What is found comes together by paragraph.
     """
     own = _own(docs, text_col, id_col, order_by)
     names = [f"u{i}" for i in range(len(own))]
-
-    def cut(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("grams", pa.list_(pa.binary()))]))
-        out = []
-        for t in texts.to_pylist():
-            parts = []
-            for (a, b, _, grams), body in zip(paragraph_ngrams(t or "", ngram_length, stride, separator), (t or "").split(separator)):
-                if len(grams) < 2:
-                    grams = [] if skip_short or not body else [body]
-                if len(body) < min_length or skip_empty and not body.strip() or min_words and len(body.split()) < min_words:
-                    grams = []
-                parts.append({"start": a, "end": b, "grams": [hashlib.md5(g.encode("utf-8", "surrogatepass")).digest() for g in grams]})
-            out.append(parts)
-        return pa.array(out, kind)
-
-    cut.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    cut = F.arrow_udf(cut, "array<struct<start:bigint,end:bigint,grams:array<binary>>>").asNondeterministic()
-    rows = docs.select(*own, cut(docs[text_col]).alias("parts")).select(*names, F.posexplode("parts").alias("pos", "p")).select(*names, "pos", "p.start", "p.end", F.posexplode("p.grams").alias("at", "k"))
+    own[-1] = F.hash(docs[text_col]).alias(names[-1])  # shorter, as it goes with each n-gram
+    rows = docs.select(*own, docs[text_col].alias("text"), F.lit(False).alias("seed"))
+    kinds = {f.name: f.dataType for f in rows.schema if f.name in names}
     if seeds is not None:
-        seeds = seeds.select(F.explode(cut(F.col(seeds.columns[0]))).alias("p")).select(F.explode("p.grams").alias("k"))
-    rows = _repeats(rows, [*names, "pos", "at"], seeds, read_only)
-    share = rows.groupBy(*names, "pos", "start", "end").agg((F.sum(F.col("repeat").cast("int")) / F.count("*")).cast("float").alias("score"))
-    found = share.where((F.col("score") >= F.lit(threshold).cast("float")) & (F.col("score") > 0)).select(*names, F.struct("start", "end", F.col("score").cast("double").alias("score")).alias("span"))
-    return _collect(docs.select(*own), found.withColumn("later", F.col("span")))
+        rows = rows.unionByName(seeds.select(*[F.lit(None).cast(t).alias(n) for n, t in kinds.items()], F.col(seeds.columns[0]).alias("text"), F.lit(True).alias("seed")))
+
+    def compared(body: str) -> bool:
+        return len(body) >= min_length and not (skip_empty and not body.strip()) and not (min_words and len(body.split()) < min_words)
+
+    def blocks(chunk: pa.RecordBatch, seed: bool) -> Iterator[pa.RecordBatch]:
+        chunk = chunk.take(pa.array(_in_order(pa.table(chunk.select(names)), names)))
+        parts, keys = _hashed_grams(chunk["text"].to_pylist(), ngram_length, stride, separator, skip_short, compared)
+        part = np.repeat(np.arange(len(parts)), parts[:, 4])
+        hits = np.zeros(len(parts), np.int64)
+        if not read_only or seed:
+            by, new = _by_key(keys)
+            first = by[new]
+            again = np.ones(len(keys), bool)
+            again[first] = False
+            hits = np.bincount(part[again], minlength=len(parts))
+            first.sort()
+            keys, part = keys[first], part[first]
+        empty = pa.nulls(0, pa.int64())
+        if not seed:
+            doc = np.flatnonzero(np.diff(parts[:, 0], append=-1)) + 1  # ends of documents
+            table = np.column_stack([parts[:, 1:], hits])
+            group = chunk[names[-1]].to_numpy() % _GROUPS
+            columns = [_lists(chunk[n], np.arange(1, chunk.num_rows + 1)) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.nulls(len(group), pa.binary()), pa.nulls(len(group), pa.binary()), pa.array(np.zeros(len(group), bool)), *columns, _lists(pa.array(table.ravel()), doc * 5)], ["g", "keys", "pos", "seed", *names, "parts"])
+        group = (keys["a"] % np.uint64(_GROUPS)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        keys, part, group = keys[order], part[order], group[order]
+        ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+        n = len(ends)
+        of = pa.array(parts[part, 0]) if not seed else empty
+        columns = [_lists(chunk[c].take(of), ends if not seed else np.zeros(n, int)) for c in names]
+        yield pa.RecordBatch.from_arrays([pa.array(group[ends - 1], pa.int32()), _bytes(keys, ends), _bytes(parts[part, 1].astype(np.uint32), ends), pa.array(np.full(n, seed)), *columns, _lists(empty, np.zeros(n, int))], ["g", "keys", "pos", "seed", *names, "parts"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.utf8_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False)) // _CHUNK
+            seed = batch["seed"].to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(size, prepend=-1) | np.diff(seed.astype(int), prepend=-1))
+            for at, to in zip(cuts, [*cuts[1:], batch.num_rows]):
+                yield from blocks(batch.slice(at, to - at), bool(seed[at]))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        whole = table.filter(pc.is_null(table["keys"]))
+        columns = [[pc.list_flatten(whole[n]).combine_chunks() for n in names], None]
+        five = pc.list_flatten(whole["parts"]).to_numpy().reshape(-1, 5)
+        of = pa.array(np.repeat(np.arange(whole.num_rows), pc.list_value_length(whole["parts"]).to_numpy() // 5))
+        out = [pa.table([*[c.take(of) for c in columns[0]], *[pa.array(five[:, k]) for k in range(5)], pa.array(np.ones(len(five), np.int64))], out_names)]
+        packed = table.filter(pc.is_valid(table["keys"]))
+        if packed.num_rows:
+            keys = [np.frombuffer(x, _KEY) for x in packed["keys"].to_pylist()]
+            seed = np.repeat(packed["seed"].to_numpy(), [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            pos = np.frombuffer(b"".join(packed["pos"].to_pylist()), np.uint32)
+            by, new = _by_key(keys)
+            number = np.empty(len(by), np.int64)
+            number[by] = np.cumsum(new) - 1
+            known = np.zeros(number.max() + 1, bool)
+            known[number[seed]] = True
+            number, pos = number[~seed], pos[~seed]  # of the documents' own, whose places the lists have
+            its = np.flatnonzero(known[number] if read_only else known[number] | (np.bincount(number, minlength=len(known)) > 1)[number])
+            found = pa.table([pc.list_flatten(packed[n]).combine_chunks().take(pa.array(its)) for n in names] + [pa.array(pos[its].astype(np.int64))], [*names, "pos"])
+            number = number[its]
+            hit = known[number]
+            if not read_only and len(its):
+                order = _in_order(found, [*names, "pos"])
+                hit = hit.copy()
+                later = np.ones(len(order), bool)
+                later[np.unique(number[order], return_index=True)[1]] = False
+                hit[order[later]] = True
+            found = found.filter(pa.array(hit)).group_by([*names, "pos"]).aggregate([([], "count_all")])
+            none = pa.nulls(found.num_rows, pa.int64())
+            out.append(pa.table([*[found[n] for n in names], found["pos"], none, none, none, found["count_all"], pa.array(np.zeros(found.num_rows, np.int64))], out_names))
+        return pa.concat_tables(out)
+
+    out_names = [*names, "pos", "start", "end", "total", "hits", "n"]
+    binary, long = T.BinaryType(), T.LongType()
+    packed = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("keys", binary), T.StructField("pos", binary), T.StructField("seed", T.BooleanType()), *[T.StructField(n, T.ArrayType(t)) for n, t in kinds.items()], T.StructField("parts", T.ArrayType(long))])
+    found = T.StructType([T.StructField(n, kinds.get(n, long)) for n in out_names])
+    rows = rows.mapInArrow(cut, packed).groupBy("g").applyInArrow(search, found)
+    rows = rows.groupBy(*names, "pos").agg(*[F.max(c).alias(c) for c in ("start", "end", "total")], *[F.sum(c).alias(c) for c in ("hits", "n")]).where("hits > 0 OR pos = 0")
+    # of n equal documents all but one have been seen before as a whole, unless seeds alone are compared
+    once = F.col("hits") / F.col("n") if read_only else F.col("hits") - (F.col("n") - 1) * F.col("total")
+
+    def span(hits: Column) -> Column:
+        score = (hits / F.col("total")).cast("float")
+        return F.when((F.col("total") > 0) & (score >= F.lit(threshold).cast("float")) & (score > 0), F.struct("start", "end", score.cast("double").alias("score")))
+
+    its = rows.groupBy(*names).agg(F.max("n").alias("n"), *[F.sort_array(F.collect_list(span(h))).cast(SPANS).alias(c) for c, h in (("span", once), ("later", once if read_only else F.col("total")))])
+    its = its.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return its.select(F.col(names[-2]).alias("id"), F.when(F.col("copy") > 1, F.col("later")).otherwise(F.col("span")).alias("duplicates"))
 
 
 def bloom_size(expected: int, false_positive_rate: float, least_bytes: int = 1 << 20) -> tuple[int, int]:
