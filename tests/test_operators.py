@@ -258,6 +258,21 @@ def test_ngrams_are_shuffled_packed(spark):
     assert "Generate" not in plan.split("FlatMapGroupsInArrow", 1)[1] and "Join" not in plan
 
 
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_ngrams_are_counted_before_the_shuffle(spark, n):
+    from collections import Counter
+
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice(["a", "É", "b\u3000c", "😊", "don't\n"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [None, "", " "]
+    want = Counter(" ".join(w[i : i + n]) for t in texts for w in [(t or "").lower().split()] for i in range(len(w) - n + 1))
+    docs = docs_of(spark, texts).repartition(3)
+    assert {r["ngram"]: r["n"] for r in stats.ngram_counts(docs, n).collect()} == want
+    assert {r["ngram"]: r["n"] for r in stats.ngram_counts(docs, n, least=3).collect()} == {g: k for g, k in want.items() if k >= 3}
+    top = [(r["ngram"], r["n"]) for r in stats.top_ngrams(docs, n, 5).collect()]
+    assert top == sorted(want.items(), key=lambda x: (-x[1], x[0].encode()))[:5]
+    assert "Generate" not in stats.ngram_counts(docs, n)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_visited_and_bloom():
     assert dedupe.visited(11, 3) == [0, 1, 4, 7, 10] and dedupe.visited(0, 1) == [] and dedupe.visited(3, 0) == [0, 1, 2]
     size, hashes = dedupe.bloom_size(1_000_000, 0.01)

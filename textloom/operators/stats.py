@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,20 +123,95 @@ def host_stats(pages: DataFrame, k: int, url_col: str = "url") -> DataFrame:
     return pages.groupBy(host.alias("host")).agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "host").limit(k)
 
 
+#: Groups by hash, in which n-grams are counted by themselves; characters of the texts that are counted together before the shuffle.
+_GROUPS, _CHUNK = 1024, 1 << 23
+
+
+def _pack_ngrams(texts: list[str | None], n: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(group, bytes, n-grams, their counts) of the texts: n-grams in order, one a line, compressed."""
+    numbers: dict[str, int] = {}
+    ids: list[int] = []
+    sizes = []
+    for text in texts:
+        words = (text or "").split()
+        if len(words) >= n:
+            ids += [numbers.setdefault(w, len(numbers)) for w in words]
+            sizes.append(len(words))
+    if not sizes:
+        return
+    # words by their places in alphabetical order, so that the numbers of n-grams are in order too
+    words = sorted(numbers)
+    rank = np.empty(len(words), np.int64)
+    rank[[numbers[w] for w in words]] = np.arange(len(words))
+    its, ends = rank[ids], np.cumsum(sizes)
+    inside = np.ones(len(its), bool)
+    for k in range(1, n):
+        inside[ends - k] = False
+    at = np.flatnonzero(inside)
+    code, bound = its[at], len(words)
+    for k in range(1, n):
+        if bound * len(words) >= 1 << 63:  # numbered anew, so that the product fits
+            distinct, code = np.unique(code, return_inverse=True)
+            bound = len(distinct)
+        code, bound = code * len(words) + its[at + k], bound * len(words)
+    _, first, counts = np.unique(code, return_index=True, return_counts=True)
+    hashes = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words), np.uint64)
+    at = at[first]
+    group = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        group += hashes[its[at + k]] * np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64))
+    group = ((group ^ (group >> np.uint64(32))) % np.uint64(_GROUPS)).astype(np.int16)
+    by = np.argsort(group, kind="stable")
+    at, group, counts = at[by], group[by], counts[by]
+    named, blank = pa.array(words, pa.large_string()), pa.scalar(" ", pa.large_string())
+    grams = pc.binary_join_element_wise(*(named.take(pa.array(its[at + k])) for k in range(n)), blank) if n > 1 else named.take(pa.array(its[at]))
+    grams = pc.binary_join_element_wise(grams, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
+    _, offsets, lines = grams.buffers()
+    offsets = np.frombuffer(offsets, np.int64)
+    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(grams)]):
+        joined = lines.slice(offsets[a], offsets[b] - 1 - offsets[a])
+        yield int(group[a]), len(joined), pa.compress(joined, "zstd", asbytes=True), pa.compress(counts[a:b].astype("<u4").tobytes(), "zstd", asbytes=True)
+
+
+def _counted(docs: DataFrame, n: int, text_col: str, least: int, k: int | None = None) -> DataFrame:
+    """(ngram, n) of every word n-gram that occurs ``least`` times; with ``k``, of the k most frequent of each group.
+
+    N-grams are counted by chunk of documents, then those of the same hash group come together, packed.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.cumsum(pc.utf8_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False)) // _CHUNK
+            cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+                rows = list(_pack_ngrams(batch["text"].slice(a, b - a).to_pylist(), n))
+                for at in range(0, len(rows), 256):
+                    g, size, grams, counts = zip(*rows[at : at + 256])
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(size, pa.int32()), pa.array(grams, pa.binary()), pa.array(counts, pa.binary())], ["g", "size", "grams", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        grams, counts = [], []
+        for size, its, many in zip(table["size"].to_pylist(), table["grams"].to_pylist(), table["counts"].to_pylist()):
+            lines = pa.array([pa.decompress(its, size, "zstd", asbytes=True)], pa.binary())
+            grams.append(pc.list_flatten(pc.split_pattern(lines.cast(pa.string()), "\n")))
+            counts.append(pa.array(np.frombuffer(pa.decompress(many, 4 * len(grams[-1]), "zstd", asbytes=True), np.uint32).astype(np.int64)))
+        its = pa.table([pa.chunked_array(grams), pa.chunked_array(counts)], ["ngram", "n"]).group_by("ngram").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        its = its.filter(pc.greater_equal(its["n"], least)).select(["ngram", "n"])
+        return its if k is None else its.take(pc.select_k_unstable(its, k, [("n", "descending"), ("ngram", "ascending")]))
+
+    rows = docs.select(F.lower(F.col(text_col)).alias("text")).where("text IS NOT NULL")
+    return rows.mapInArrow(count, "g int, size int, grams binary, counts binary").groupBy("g").applyInArrow(add, "ngram string, n long")
+
+
 def ngram_counts(docs: DataFrame, n: int, text_col: str = "text", least: int = 1) -> DataFrame:
     """(ngram, n) of every word n-gram that occurs ``least`` times."""
-    words = split_words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(words.alias("w")).where(F.size("w") >= n)
-    grams = F.slice("w", F.lit(1), F.size("w") - n + 1)
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice("w", F.lit(k + 1), F.size("w") - n + 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = rows.select(F.explode(grams).alias("ngram"))
-    return grams.groupBy("ngram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _counted(docs, n, text_col, least)
 
 
 def top_ngrams(docs: DataFrame, n: int, k: int, text_col: str = "text") -> DataFrame:
-    """The k most frequent n-grams, those that tie in alphabetical order."""
-    return ngram_counts(docs, n, text_col).orderBy(F.desc("n"), "ngram").limit(k)
+    """The k most frequent n-grams, those that tie in alphabetical order.  Groups have no n-gram in common, so theirs are among the k of each."""
+    return _counted(docs, n, text_col, 1, k).orderBy(F.desc("n"), "ngram").limit(k)
 
 
 def covered(spans: str = "spans") -> Column:
