@@ -273,6 +273,25 @@ def test_ngrams_are_counted_before_the_shuffle(spark, n):
     assert "Generate" not in stats.ngram_counts(docs, n)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ngram_shares_sort_repeated_words_alone():
+    from collections import Counter
+
+    from textloom.operators.python_taggers import _ngram_shares
+
+    rng = random.Random(3)
+    for words in [[rng.choice("abcd") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))] for _ in range(200)]:
+        number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        got, chars = _ngram_shares(np.array([number[w] for w in words], int), np.array([len(w) for w in words], int), 100), {}
+        for n in range(2, min(10, len(words)) + 1):
+            grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+            size = {g: sum(map(len, g)) for g in grams}
+            if n <= 4:
+                chars[f"fraction_of_characters_in_most_common_{n}grams"] = max(grams.values()) * size[grams.most_common(1)[0][0]] / 100
+            else:
+                chars[f"fraction_of_characters_in_duplicate_{n}grams"] = sum(k * size[g] for g, k in grams.items() if k > 1) / sum(k * size[g] for g, k in grams.items())
+        assert got == chars
+
+
 def test_visited_and_bloom():
     assert dedupe.visited(11, 3) == [0, 1, 4, 7, 10] and dedupe.visited(0, 1) == [] and dedupe.visited(3, 0) == [0, 1, 2]
     size, hashes = dedupe.bloom_size(1_000_000, 0.01)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import html.parser
 import math
 import re
-import statistics
 from collections import Counter
 
 import numpy as np
@@ -60,26 +59,43 @@ def word_segments(text: str) -> list[str]:
     return out
 
 
-def _ngram_shares(words: list[str], total: int) -> dict[str, float]:
-    """Shares of the characters in the most common and in repeated n-grams; an n-gram's number comes from those of its first n-1 words
-    and of its last, so equal numbers are equal n-grams."""
+_FIRST = np.zeros(1, np.int64)
+
+
+def _ngram_shares(ids: np.ndarray, size: np.ndarray, total: int) -> dict[str, float]:
+    """Shares of the characters in the most common and in repeated n-grams of words with these numbers and sizes.
+
+    An n-gram's number comes from those of its first n-1 words and of its last, so equal numbers are equal n-grams; those whose first n-1 words
+    occur once occur once themselves, so they aren't numbered any more.
+    """
     out: dict[str, float] = {}
-    numbers: dict[str, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    code, chars = ids, size
+    many_words = int(ids.max()) + 1 if len(ids) else 0
+    chars, at, code = size, np.arange(len(ids)), ids
     for n in range(2, 11):
-        if len(words) < n:
+        if len(ids) < n:
             break
         chars = chars[:-1] + size[n - 1 :]
-        _, first, code, many = np.unique(code[:-1] * len(numbers) + ids[n - 1 :], return_index=True, return_inverse=True, return_counts=True)
+        if len(at) and at.max() >= len(chars):
+            inside = at < len(chars)
+            at, code = at[inside], code[inside]
+        if not len(at):
+            out[f"fraction_of_characters_in_most_common_{n}grams" if n <= 4 else f"fraction_of_characters_in_duplicate_{n}grams"] = float(chars[0] / max(total, 1)) if n <= 4 else 0.0
+            continue
+        code = code * many_words + ids[at + n - 1]
+        order = code.argsort(kind="stable")
+        its = code[order]
+        first = np.concatenate((_FIRST, (its[1:] != its[:-1]).nonzero()[0] + 1))
+        many = np.concatenate((first[1:], [len(order)])) - first
+        place = at[order[first]]
+        again = many > 1
         if n <= 4:
-            top = many.max()
-            at = first[many == top].min()
-            out[f"fraction_of_characters_in_most_common_{n}grams"] = float(top * chars[at] / max(total, 1))
+            top = many.max() if again.any() else 1
+            where = place[many == top].min() if top > 1 else 0
+            out[f"fraction_of_characters_in_most_common_{n}grams"] = float(top * chars[where] / max(total, 1))
         else:
-            weight = many * chars[first]
-            out[f"fraction_of_characters_in_duplicate_{n}grams"] = float(weight[many > 1].sum() / max(weight.sum(), 1))
+            out[f"fraction_of_characters_in_duplicate_{n}grams"] = float((many * chars[place])[again].sum() / max(chars.sum(), 1))
+        kept = again.repeat(many)
+        at, code = at[order[kept]], np.arange(len(first)).repeat(many)[kept]
     return out
 
 
@@ -87,21 +103,25 @@ def _gopher(text: str, line_break: str) -> Spans:
     scores = dict.fromkeys(("character_count", "word_count", "median_word_length", "symbol_to_word_ratio", "fraction_of_words_with_alpha_character", "required_word_count", "fraction_of_lines_starting_with_bullet_point", "fraction_of_lines_ending_with_ellipsis", "fraction_of_duplicate_lines", "fraction_of_characters_in_duplicate_lines"), 0.0)
     if text:
         words = text.split()
-        n, chars = max(len(words), 1), sum(map(len, words))
+        times = Counter(words)
+        number = {w: k for k, w in enumerate(times)}
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        size = np.fromiter(map(len, times), np.int64, len(times))[ids]
+        n, chars = max(len(words), 1), int(size.sum())
         lines = re.split(line_break, text)
         again = {x: k for x, k in Counter(lines).items() if k > 1}
         scores |= {
             "character_count": len(text),
             "word_count": len(words),
-            "median_word_length": float(statistics.median(map(len, words))) if words else 0.0,
-            "symbol_to_word_ratio": sum("#" in w or "…" in w for w in words) / n,
-            "fraction_of_words_with_alpha_character": sum(any(map(str.isalpha, w)) for w in words) / n,
-            "required_word_count": sum(w in _REQUIRED for w in words),
+            "median_word_length": float(np.median(size)) if words else 0.0,
+            "symbol_to_word_ratio": sum(k for w, k in times.items() if "#" in w or "…" in w) / n,
+            "fraction_of_words_with_alpha_character": sum(k for w, k in times.items() if w[0].isalpha() or any(map(str.isalpha, w))) / n,
+            "required_word_count": sum(times[w] for w in _REQUIRED),
             "fraction_of_lines_starting_with_bullet_point": sum(x[:1] in ("*", "-") and x != "" for x in lines) / len(lines),
             "fraction_of_lines_ending_with_ellipsis": sum(x[-1:] == "…" for x in lines) / len(lines),
             "fraction_of_duplicate_lines": sum(again.values()) / len(lines),
             "fraction_of_characters_in_duplicate_lines": sum(len(x) * k for x, k in again.items()) / max(chars, 1),
-            **_ngram_shares(words, chars),
+            **_ngram_shares(ids, size, chars),
         }
     return {k: [(0, len(text), v)] for k, v in scores.items()}
 
